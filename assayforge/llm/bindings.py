@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayforge.llm.packing import op7_best_fit_packing
 from assayforge.llm.substring_dedup import op1_substring_dedup
+from assayforge.llm.word_bpe import op10_bpe_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_bpe_codec": op10_bpe_codec,
 }
 
 #: Words by the same pattern, windows as lists of 20 words; first by (doc_id, start).
