@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayforge.llm.fingerprint import op2_document_fingerprint
 from assayforge.llm.packing import op7_best_fit_packing
 from assayforge.llm.substring_dedup import op1_substring_dedup
 from assayforge.llm.word_bpe import op10_bpe_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_document_fingerprint": op2_document_fingerprint,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_bpe_codec": op10_bpe_codec,
 }
