@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayforge.llm.ann import op4_ann_search
 from assayforge.llm.fingerprint import op2_document_fingerprint
 from assayforge.llm.language_id import op6_language_id
+from assayforge.llm.near_dedup import op3_minhash_near_dedup
 from assayforge.llm.packing import op7_best_fit_packing
 from assayforge.llm.quality import op8_quality_classifier
 from assayforge.llm.substring_dedup import op1_substring_dedup
@@ -16,6 +18,8 @@ from assayforge.llm.word_bpe import op10_bpe_codec
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_document_fingerprint": op2_document_fingerprint,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_ann_search": op4_ann_search,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
