@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def located(words: tv.Words, phrase: int, marks: np.ndarray, grams: np.ndarray)
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of a list column; null as empty."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
     off = np.concatenate([[0], np.cumsum(sizes)])
     return off, np.asarray(column.flatten())
 
@@ -89,6 +90,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _emit_phrases(window: int, phrase: int, places: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("first"))
             ids = np.asarray(batch.column("doc_id"))
             for words in tv.words_of(batch.column("text")):
                 _, at, grams = anchors(words, window, phrase)
@@ -132,6 +134,7 @@ def _tagged(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _emit_windows(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("first"))
             ids = np.asarray(batch.column("doc_id"))
             off, at = _lists(batch.column("places"))
             for words in tv.words_of(batch.column("text")):
@@ -203,21 +206,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     if not 1 <= phrase <= window:
         raise ValueError("phrase must have 1 to window words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The whole text is dealt out by doc_id once; the passes below reuse that exchange.
     prints = docs.select("doc_id", F.md5("text").alias("print")).where("print is not null")
     first = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
+    # The whole text is dealt out by doc_id once, and the four passes below reuse that
+    # exchange; they filter in the pass itself, as a filter that moves below the join
+    # would make each exchange one of its own.
     base = docs.join(first.select("doc_id", F.lit(True).alias("first")).distinct(), "doc_id", "left")
-    unique = base.where("first and text is not null").select("doc_id", "text")
+    base = base.select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("first"))
 
-    counted = unique.mapInArrow(_emit_phrases(window, phrase, False), "phrase long, n long")
+    counted = base.mapInArrow(_emit_phrases(window, phrase, False), "phrase long, n long")
     confirmed = counted.groupBy("phrase").agg(F.sum("n").alias("n")).where("n >= 2").select("phrase")
-    placed = unique.mapInArrow(_emit_phrases(window, phrase, True), "phrase long, doc_id long, at int")
+    placed = base.mapInArrow(_emit_phrases(window, phrase, True), "phrase long, doc_id long, at int")
     places = placed.join(confirmed.hint("merge"), "phrase").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
 
     known = base.join(places, "doc_id", "left")
-    windows = known.where("places is not null and first").select("doc_id", "text", "places").mapInArrow(_emit_windows(window, phrase), "win long, doc_id long")
+    windows = known.mapInArrow(_emit_windows(window, phrase), "win long, doc_id long")
     owned = windows.groupBy("win").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("win").alias("owned"))
-    ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "places", "owned", F.coalesce(~F.col("first"), F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
+    ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "places", "owned", (~F.col("first") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
     return ready.mapInArrow(_emit_kept(window, phrase), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
