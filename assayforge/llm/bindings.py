@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayforge.llm.ann import op4_ann_search
 from assayforge.llm.fingerprint import op2_document_fingerprint
+from assayforge.llm.html_extract import op5_html_extract
 from assayforge.llm.language_id import op6_language_id
+from assayforge.llm.license_scan import op9_license_scan
 from assayforge.llm.near_dedup import op3_minhash_near_dedup
 from assayforge.llm.packing import op7_best_fit_packing
 from assayforge.llm.quality import op8_quality_classifier
@@ -20,9 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_document_fingerprint": op2_document_fingerprint,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_ann_search": op4_ann_search,
+    "op5_html_extract": op5_html_extract,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_license_scan": op9_license_scan,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
