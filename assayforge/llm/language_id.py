@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from assayforge.llm import charvec as cv
 from assayforge.llm.common import held_out
@@ -187,6 +188,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred and score; its own columns of these names must be gone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = label(shared.value, [t or "" for t in batch.column("text").to_pylist()])
+            more = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

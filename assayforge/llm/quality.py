@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assayforge.llm import charvec as cv
 from assayforge.llm.common import held_out
@@ -137,6 +138,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
+def annotate(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """``docs`` with its score; a column of this name must be gone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = scores(*shared.value, [t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+
+
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

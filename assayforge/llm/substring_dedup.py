@@ -164,7 +164,7 @@ def kept_text(words: tv.Words, removed: np.ndarray) -> list[bytes]:
     return [raw[a : max(a, b - 1)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _emit_kept(window: int, phrase: int):
+def _emit_kept(window: int, phrase: int, as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, at = _lists(batch.column("places"))
@@ -187,13 +187,16 @@ def _emit_kept(window: int, phrase: int):
                     np.add.at(edge, starts[~stays], 1)
                     np.add.at(edge, starts[~stays] + window, -1)
                     removed |= np.cumsum(edge[:-1]) > 0
-                gone = np.concatenate([[0], np.cumsum(removed)])[words.first]
+                gone = np.diff(np.concatenate([[0], np.cumsum(removed)])[words.first])
+                kept = pa.array(kept_text(words, removed), pa.binary()).cast(pa.string())
+                if as_is:
+                    kept = pc.if_else(pa.array(gone > 0), kept, batch.column("text").slice(lo, hi - lo).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
                         pa.array(count.astype(np.int64)),
-                        pa.array(np.diff(gone).astype(np.int64)),
-                        pa.array(kept_text(words, removed), pa.binary()).cast(pa.string()),
+                        pa.array(gone.astype(np.int64)),
+                        kept,
                     ],
                     ["doc_id", "n_words", "n_removed", "kept_text"],
                 )
@@ -201,8 +204,12 @@ def _emit_kept(window: int, phrase: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, as_is: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text.
+
+    kept_text has the kept words joined by one space; with ``as_is`` a text that
+    loses nothing stays as it was.
+    """
     if not 1 <= phrase <= window:
         raise ValueError("phrase must have 1 to window words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,7 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     windows = known.mapInArrow(_emit_windows(window, phrase), "win long, doc_id long")
     owned = windows.groupBy("win").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("win").alias("owned"))
     ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "places", "owned", (~F.col("first") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
-    return ready.mapInArrow(_emit_kept(window, phrase), "doc_id long, n_words long, n_removed long, kept_text string")
+    return ready.mapInArrow(_emit_kept(window, phrase, as_is), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
