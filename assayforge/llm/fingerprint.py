@@ -10,7 +10,8 @@ is 1 at no difference and 0 from ``MOST`` on.
 Defined cases: null text is empty; texts under three bytes have no triplets and
 differ by length and checksum alone; equal texts have equal digests; repeated
 rows each get a row; other columns are ignored. Rows without a doc_id come first
-in the order of documents. Rows that share one are ordered by text.
+in the order of documents; where no row has one, the last of them follows
+itself. Rows that share one are ordered by text.
 """
 
 from __future__ import annotations
@@ -107,7 +108,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = [(r["part"], r["first"]) for r in placed.groupBy("part").agg(F.min("doc_id").alias("first")).orderBy("part").collect() if r["first"] is not None]
     whole = placed.select("part", F.lit(False).alias("ahead"), "doc_id", "text")
     if firsts:
-        to = docs.sparkSession.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "doc_id long, part int")
+        ahead = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+        if firsts[0][0] != 0:  # rows without an id are in part 0
+            ahead.append((firsts[0][1], 0))
+        to = docs.sparkSession.createDataFrame(ahead, "doc_id long, part int")
         copies = docs.join(F.broadcast(to), "doc_id").select("part", F.lit(True).alias("ahead"), "doc_id", "text")
         whole = whole.unionByName(copies)
     return whole.repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
@@ -125,18 +129,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
+    def add(text: str, own: str) -> None:
+        """The document before, followed by this one."""
+        _, old_id, old, old_digest = before
+        n = len(old)
+        edited = (old[: n - n // 4] + text[: n // 4]).encode()
+        out.append((old_id, n, sha256(edited).hexdigest(), old_digest, digest(edited), own))
+
     for batch in batches:
         for part, ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "ahead", "doc_id", "text")), strict=True):
             own = None
             if before is not None and before[0] == part:
                 own = digest(text.encode())
-                _, old_id, old, old_digest = before
-                n = len(old)
-                edited = (old[: n - n // 4] + text[: n // 4]).encode()
-                out.append((old_id, n, sha256(edited).hexdigest(), old_digest, digest(edited), own))
+                add(text, own)
+            elif before is not None:
+                add(before[2], before[3])  # only where no row has an id
             before = None if ahead else (part, doc_id, text, own or digest(text.encode()))
             if len(out) >= 2000:
                 yield flush()
+    if before is not None:
+        add(before[2], before[3])
     if out:
         yield flush()
 
