@@ -9,8 +9,9 @@ a text's language is the one with most letters, and the score their share.
 The model is learned from a bounded sample of labelled rows (``SAMPLE``, those
 with the smallest hash of the id), each text whole.
 
-A path without a switch is best whenever no run of words gains more than one
-penalty in another language; that is tested for all words of a text at once, and
+A path without a switch is best whenever no run of words gains more than half a
+penalty in another language: a path of k other runs pays k - 1 penalties, which is
+at least half of k. That is tested for all words of a text at once, and
 only other texts go through the word-by-word recursion. Both are exact.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
@@ -119,7 +120,7 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     best = int(scores.sum(axis=0).argmax())
     run = np.cumsum(scores - scores[:, [best]], axis=0)
     low = np.minimum(0, np.minimum.accumulate(np.vstack([np.zeros(scores.shape[1]), run[:-1]]), axis=0))
-    if (run - low).max() <= penalty:
+    if (run - low).max() <= penalty / 2:
         return np.full(len(scores), best)
     langs = range(scores.shape[1])
     value = scores[0].tolist()
