@@ -12,12 +12,13 @@ components of links; the class id is the smallest doc_id.
 At similarity 0.8 a pair has no key in common with probability about
 (1 - 0.8 ** 4) ** 20 = 0.00003; that is the method's own loss.
 
-Exact copies are one candidate. A bucket is never expanded into all its pairs:
-each round compares its pivot (first its smallest id, then the member with most
-links so far) with the members that are not yet of the pivot's class, and takes
-the pivot out. The rounds end when every bucket is of one class or has been
-compared whole; there is no cap on them. Pairs, links and classes stay
-distributed; the driver sees counts only.
+Exact copies are one candidate. A bucket is not expanded into pairs: first its
+smallest id is compared with the rest, then, where several classes are left, the
+member with most links. Buckets that are still of several classes are compared
+whole, in chunks of about ``CHUNK`` members: a task gets two chunks of a bucket,
+looks at each pair only in the first bucket that it shares and only while its
+members are of different classes, and returns links alone. So no candidate goes
+untested, whatever the size of a bucket. Links and classes stay distributed.
 
 Defined cases: null texts and texts without words are classes of their own;
 texts of one to four words are one shingle; rows that share a doc_id share a
@@ -41,6 +42,8 @@ SHINGLE = 5
 SKETCHES = 20
 TUPLE = 4
 SIMILAR = 0.8
+#: Members of a bucket that are compared in one task with as many others, about.
+CHUNK = 128
 
 
 def shingles(words: tv.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +193,42 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
             return label
 
 
+def _resolve(similar: float):
+    """Links within the candidates of two chunks of one bucket, of which each pair is
+    looked at only in the first bucket that its members share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                one, two = row["x"], row["y"]
+                same = row["cx"] == row["cy"]
+                kx, ky = (np.array([m["keys"] for m in side], np.int64) for side in (one, two))
+                class_ = {m["id"]: m["class"] for m in one + two}  # grows together as links are found
+                root = {c: c for c in class_.values()}
+
+                def top(c: int) -> int:
+                    while root[c] != c:  # noqa: B023
+                        c = root[c]  # noqa: B023
+                    return c
+
+                seq = [[np.frombuffer(m["seq"], np.uint32) for m in side] for side in (one, two)]
+                for i, m in enumerate(one):
+                    equal = ky == kx[i]
+                    # argmax is the first equal band; here the key itself is one that both have
+                    for j in np.flatnonzero(equal.any(axis=1) & (kx[i][equal.argmax(axis=1)] == row["key"])).tolist():
+                        o = two[j]
+                        if same and j <= i or m["id"] == o["id"]:
+                            continue
+                        p, q = top(class_[m["id"]]), top(class_[o["id"]])
+                        if p != q and matches(seq[0][i], seq[1][j], similar):
+                            root[max(p, q)] = min(p, q)
+                            out.append((m["id"], o["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, sketches: int = SKETCHES, size: int = TUPLE) -> DataFrame:
     """Per row of (doc_id, text): doc_id, class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -197,44 +236,50 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
     drawn = checkpointed(known.select("doc_id", "text", F.md5("text").alias("print")).mapInArrow(_emit_sketches(shingle, sketches, size), "doc_id long, print string, keys array<long>"))
     first = drawn.groupBy("print").agg(F.min("doc_id").alias("first"))
     member = drawn.select("doc_id", "print").join(first, "print").select("doc_id", "first")
-    one = drawn.join(first, (drawn["print"] == first["print"]) & (drawn["doc_id"] == first["first"])).select(F.col("doc_id").alias("id"), "keys")
+    one = drawn.join(first.select("print", F.col("first").alias("doc_id")), ["print", "doc_id"]).select(F.col("doc_id").alias("id"), "keys")
     rows = one.select("id", F.explode("keys").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    bucket = checkpointed(rows.join(shared.select("key", "pivot"), "key"))
+    bucket = checkpointed(rows.join(shared, "key"))
     needed = bucket.select(F.col("id").alias("doc_id")).distinct()
-    seqs = checkpointed(known.join(needed, "doc_id").mapInArrow(_emit_sequences(shingle), "doc_id long, seq binary")).dropDuplicates(["doc_id"])
+    seqs = known.join(needed, "doc_id").mapInArrow(_emit_sequences(shingle), "doc_id long, seq binary").withColumnRenamed("doc_id", "id")
+    items = checkpointed(seqs.join(one, "id").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wide = pairs.join(seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("sa")), "a").join(seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("sb")), "b")
-        return checkpointed(wide.select("a", "b", "sa", "sb").mapInArrow(_verify(similar), "a long, b long, linked boolean"))
-
-    tested = verified(bucket.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    label = components(tested.where("linked").select("a", "b"))
-    open_ = bucket.where("id != pivot").select("key", "id")
-    while True:
-        links = tested.where("linked")
-        degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-        state = open_.join(label, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
-        mixed = state.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-        state = checkpointed(state.join(mixed, "key"))
-        if state.isEmpty():
-            break
-        ranked = state.join(degree, "id", "left").select("key", "id", "class", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("id")).alias("i")).alias("order"))
-        top = ranked.groupBy("key").agg(F.max("order.d").alias("d"))
-        best = ranked.join(top, "key").where("order.d = d").groupBy("key").agg(F.min("id").alias("pivot"))
-        pivots = checkpointed(best.join(state.select("key", F.col("id").alias("pivot"), F.col("class").alias("own")), ["key", "pivot"]))
-        pairs = state.join(pivots, "key").where("class != own").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = verified(pairs)
-        open_ = state.select("key", "id").join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
-        if not fresh.where("linked").isEmpty():
-            label = components(fresh.where("linked").select("a", "b").unionByName(label.select(F.col("id").alias("a"), F.col("class").alias("b")).where("a != b")))
-        tested = checkpointed(tested.unionByName(fresh))
-        open_ = checkpointed(open_)
+        wide = pairs.join(items.select(F.col("id").alias("a"), F.col("seq").alias("sa")), "a").join(items.select(F.col("id").alias("b"), F.col("seq").alias("sb")), "b")
+        return checkpointed(wide.select("a", "b", "sa", "sb").mapInArrow(_verify(similar), "a long, b long, linked boolean").where("linked").select("a", "b"))
+
+    links = verified(bucket.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    label = components(links)
+
+    def mixed() -> DataFrame:
+        state = bucket.join(label, "id", "left").select("key", "n", "id", F.coalesce("class", "id").alias("class"))
+        open_ = state.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
+        return checkpointed(state.join(open_, "key"))
+
+    # The member with most links so far speaks for a bucket that is still of several classes.
+    state = mixed()
+    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+    hub = state.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "class"), F.struct("degree", -F.col("id"))).alias("h")).select("key", "h.*")
+    tried = state.join(hub.select("key", F.col("id").alias("pivot"), F.col("class").alias("own")), "key").where("class != own")
+    more = verified(tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    label = components(_with_classes(more, label))
+    # What is left is compared whole, chunk by chunk of each bucket.
+    state = mixed().join(items, "id")
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
+    parts = state.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "class", "seq", "keys")).alias("m"))
+    parts = checkpointed(parts)
+    met = parts.select("key", F.col("chunk").alias("cx"), F.col("m").alias("x")).join(parts.select("key", F.col("chunk").alias("cy"), F.col("m").alias("y")), "key").where("cx <= cy")
+    last = checkpointed(met.mapInArrow(_resolve(similar), "a long, b long"))
+    label = components(_with_classes(last, label))
     classes = member.join(label.withColumnRenamed("id", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("class", "first")).alias("class_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _with_classes(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links and, for what is already in a class, a link to its smallest id."""
+    return links.unionByName(label.where("id != class").select(F.col("id").alias("a"), F.col("class").alias("b")))
+
+
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every ``documents`` text."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
