@@ -59,11 +59,13 @@ def similar_pairs(items: DataFrame, threshold: float, n_bits: int = 64) -> DataF
     ranks = F.array_sort(F.transform(word_bits(F.col("fp")), lambda b: F.element_at(place, b)))
     n = F.bit_count("fp")
     prefix = F.slice(F.col("ranks"), 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    # The prefix also as a mask over ranks, so that "first common one" is a test of bits.
+    mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), r)))
     sized = items.where("fp != 0").select("id", "fp", ranks.alias("ranks"))
-    keyed = sized.select("id", "fp", prefix.alias("prefix")).select("id", "fp", "prefix", F.explode("prefix").alias("key"))
-    a = keyed.select("key", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("prefix").alias("pa"))
-    b = keyed.select("key", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("prefix").alias("pb"))
-    met = a.join(b, "key").where("a < b").where(F.array_min(F.array_intersect("pa", "pb")) == F.col("key"))
+    keyed = sized.select("id", "fp", prefix.alias("prefix")).withColumn("mask", mask).select("id", "fp", "mask", F.explode("prefix").alias("key"))
+    a = keyed.select("key", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("mask").alias("ma"))
+    b = keyed.select("key", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("mask").alias("mb"))
+    met = a.join(b, "key").where("a < b and (ma & mb & (shiftleft(1L, key) - 1L)) = 0")
     return met.withColumn("similarity", tanimoto_word(F.col("fa"), F.col("fb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayforge.functions.numbering import checkpointed
+
 
 def hits(items: DataFrame, patterns: list[tuple[int, str]], preparations: dict[str, Column], match: Callable[[Column, str], Column] | None = None) -> DataFrame:
     """Hits of (pattern_id, pattern) on items (item_id, ...).
@@ -135,10 +137,11 @@ def pair_catalogues(a: DataFrame, b: DataFrame, hits_a: DataFrame, hits_b: DataF
     left, right = a.join(sign(hits_a), "pattern_id", "left"), b.join(sign(hits_b), "pattern_id", "left")
     out = None
     for key, how in (("name", "name"), ("pattern", "pattern"), ("hit_set", "hits")):
-        met = nth(left, key, "a").join(nth(right, key, "b"), ["_k", "_n"]).select("a", "b", F.lit(how).alias("paired_by"))
+        # Each pass reads what the one before left over; written, it is worked out once.
+        met = checkpointed(nth(left, key, "a").join(nth(right, key, "b"), ["_k", "_n"]).select("a", "b", F.lit(how).alias("paired_by")).coalesce(1))
         out = met if out is None else out.unionByName(met)
-        left = left.join(met.select(F.col("a").alias("pattern_id")), "pattern_id", "left_anti")
-        right = right.join(met.select(F.col("b").alias("pattern_id")), "pattern_id", "left_anti")
+        left = checkpointed(left.join(met.select(F.col("a").alias("pattern_id")), "pattern_id", "left_anti").coalesce(1))
+        right = checkpointed(right.join(met.select(F.col("b").alias("pattern_id")), "pattern_id", "left_anti").coalesce(1))
     none = F.lit(None).cast("int")
     out = out.unionByName(left.select(F.col("pattern_id").alias("a"), none.alias("b"), F.lit("removed").alias("paired_by")))
     return out.unionByName(right.select(none.alias("a"), F.col("pattern_id").alias("b"), F.lit("added").alias("paired_by")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayforge.functions import measure, rules, similarity
+from assayforge.functions.numbering import checkpointed
 from assayforge.operators import audit, cliffs, conflicts, diff, generation, identity, leakage, merge, patterns, search, splits
 
 FLAGSHIP = "distinct_per_level"
@@ -283,7 +284,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cliffs.similar_pairs(words(spark, sf_dir).select("id", "fp"), 0.5).select("a", "b")
-    return cliffs.verdicts(pairs, _values(spark, sf_dir), 3.0)
+    return checkpointed(cliffs.verdicts(pairs, _values(spark, sf_dir), 3.0))
 
 
 @query(_PAIRED + " SELECT a, b, least, most, signed, verdict FROM k")
@@ -460,7 +461,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str, rows=CATALOGUE, only: str | None = None) -> DataFrame:
     preparations = {k: v for k, v in _prepared().items() if only in (None, k)}
-    return patterns.hits(_items(spark, sf_dir), [(i, x) for i, _, x in rows], preparations)
+    # Several checks read the hits: the texts are matched once.
+    return checkpointed(patterns.hits(_items(spark, sf_dir), [(i, x) for i, _, x in rows], preparations))
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,15 +564,19 @@ def catalogue_cleanup(spark, sf_dir):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination(spark, sf_dir):
-    """Documents that hold a whole benchmark text, found by its first six words, then exactly."""
-    bench = table(spark, sf_dir, "benchmark").where("trim(text) != ''").select("item_id", F.col("text").alias("passage"))
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    seed = lambda a, i: F.array_join(F.slice(a, i, 6), " ")
-    bench = bench.withColumn("w", words("passage")).withColumn("seed", F.xxhash64(seed(F.col("w"), F.lit(2))))
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").withColumn("w", words("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5)), lambda i: F.xxhash64(seed(F.col("w"), i))))
-    met = docs.select("doc_id", "text", F.explode(grams).alias("seed")).join(F.broadcast(bench.select("item_id", "passage", "seed")), "seed")
-    return met.where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    """Documents that hold a whole benchmark text: those with its longest inner word, then exactly."""
+    words = F.array_distinct(F.split(F.col("text"), r"\s+"))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    bench = table(spark, sf_dir, "benchmark").where("trim(text) != ''").select("item_id", F.col("text").alias("passage"), F.split(F.trim("text"), r"\s+").alias("w"))
+    bench = bench.select("item_id", "passage", longest.alias("word"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    seeds = docs.select("doc_id", F.explode(words).alias("word")).join(bench.where("word is not null").select("item_id", "word"), "word").select("doc_id", "item_id")
+    near = docs.join(seeds, "doc_id").join(bench.select("item_id", "passage"), "item_id")
+    short = bench.where("word is null").select("item_id", "passage")
+    met = near.where(F.contains("text", "passage")).select("doc_id", "item_id")
+    few = docs.join(F.broadcast(short), F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
+    return met.unionByName(few)
 
 
 # ---- rules, audit, export
