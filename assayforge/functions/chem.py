@@ -194,3 +194,72 @@ UNSUPPORTED = {
     "inchi": "needs the InChI software", "inchikey": "needs the InChI software", "iupac_name": "needs a naming service", "conformers": "needs a force field", "depiction": "needs a drawing toolkit",
     "qed": "parameters not built in", "pains": "pattern texts not built in", "maccs": "key definitions not built in", "logp": "contributions not built in", "built-in catalogues": "pattern texts not built in",
 }
+
+
+def spaced(items: DataFrame, n: int, most: int = 2500) -> DataFrame:
+    """At most ``most`` of the n items (item_id 0 to n - 1), evenly spaced: a probe's sample."""
+    step = max(1, -(-n // most))
+    return items.where(F.col("item_id") % step == 0)
+
+
+def atom_hits(items: DataFrame, pattern: str, preparations: tuple[str, ...] = ("implicit-h",), structure: str = "structure") -> DataFrame:
+    """(atom, preparation, n_hits): items that have an atom which each single atom of the pattern allows."""
+    compiled = smarts.compile_(pattern)
+
+    @F.pandas_udf("array<struct<atom:int,preparation:string>>")
+    def found(s: pd.Series) -> pd.Series:
+        def one(x):
+            out = []
+            for name in preparations:
+                try:
+                    c = smarts.Context(smarts.PREPARATIONS[name](smiles.checked(x)))
+                except smiles.Problem:
+                    continue
+                out += [{"atom": k, "preparation": name} for k, test in enumerate(compiled.atoms) if any(test(c, i) for i in range(len(c.mol.atoms)))]
+            return out
+
+        return s.map(one)
+
+    rows = items.select(F.explode(found(F.col(structure))).alias("h"))
+    return rows.groupBy("h.atom", "h.preparation").agg(F.count("*").alias("n_hits"))
+
+
+def explain(items: DataFrame, pattern: str, preparations: tuple[str, ...] = ("implicit-h", "explicit-h", "kekule")) -> DataFrame:
+    """(preparation, atom, n_hits, n_pattern, verdict) for each atom of a pattern.
+
+    verdict: fires if the whole pattern has hits there; atom if this atom alone never
+    matches; combination if each atom does but the whole does not.
+    """
+    spark = items.sparkSession
+    n = len(smarts.compile_(pattern).atoms)
+    every = spark.createDataFrame([(p, k) for p in preparations for k in range(n)], "preparation string, atom int")
+    whole = pattern_hits(items, [(0, pattern)], preparations).groupBy("preparation").agg(F.count("*").alias("n_pattern"))
+    wide = every.join(atom_hits(items, pattern, preparations), ["preparation", "atom"], "left").join(whole, "preparation", "left").fillna(0, ["n_hits", "n_pattern"])
+    verdict = F.when(F.col("n_pattern") > 0, "fires").when(F.col("n_hits") == 0, "atom").otherwise("combination")
+    return wide.select("preparation", "atom", "n_hits", "n_pattern", verdict.alias("verdict"))
+
+
+def panel_elements(items: DataFrame, structure: str = "structure", top: int = 12) -> DataFrame:
+    """(element, n): the elements that most structures of a panel have."""
+    wide = items.select(F.explode(kernel(F.col(structure))["elements"]).alias("element"))
+    return wide.groupBy("element").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "element").limit(top)
+
+
+def evaluated(items: DataFrame, preparations: tuple[str, ...], structure: str = "structure") -> DataFrame:
+    """(item_id, preparation) of every preparation that could be made."""
+
+    @F.pandas_udf("array<string>")
+    def made(s: pd.Series) -> pd.Series:
+        def one(x):
+            out = []
+            for name in preparations:
+                try:
+                    smarts.PREPARATIONS[name](smiles.checked(x))
+                    out.append(name)
+                except smiles.Problem:
+                    pass
+            return out
+
+        return s.map(one)
+
+    return items.select("item_id", F.explode(made(F.col(structure))).alias("preparation"))

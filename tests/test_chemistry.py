@@ -85,3 +85,12 @@ def test_over_columns(spark):
     cuts = chem.fragments(df.select(df["record_id"].alias("id"), "structure")).where("id = 0").collect()
     assert any(r["rest"] == "[H][*:1]" for r in cuts)
     assert smiles.reaction_counts("CC.O>>CCO") == (2, 0, 1)
+
+
+def test_explained_patterns(spark):
+    items = spark.createDataFrame(list(enumerate(["CCO", "c1ccccc1", "bad(", "CCN"])), "item_id long, structure string")
+    got = {(r["preparation"], r["atom"]): (r["n_hits"], r["n_pattern"], r["verdict"]) for r in chem.explain(items, "[#1]O").collect()}
+    assert got["implicit-h", 0] == (0, 0, "atom") and got["implicit-h", 1] == (1, 0, "combination") and got["explicit-h", 0] == (3, 1, "fires")
+    assert {(r["element"], r["n"]) for r in chem.panel_elements(items).collect()} == {("C", 3), ("N", 1), ("O", 1)}
+    assert chem.evaluated(items, ("implicit-h", "kekule")).count() == 6
+    assert chem.spaced(items, 4, 2).count() == 2
