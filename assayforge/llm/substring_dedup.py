@@ -222,7 +222,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     base = base.select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("first"))
 
     counted = base.mapInArrow(_emit_phrases(window, phrase, False), "phrase long, n long")
-    confirmed = counted.groupBy("phrase").agg(F.sum("n").alias("n")).where("n >= 2").select("phrase")
+    confirmed = counted.groupBy("phrase").agg(F.sum("n").alias("n")).where("n >= 2")
+    # Not the grouping column itself: the join then has an exchange on both sides, and
+    # partitions with hot phrases can be split.
+    confirmed = confirmed.select(F.col("phrase").bitwiseXOR(F.lit(0).cast("long")).alias("phrase"))
     placed = base.mapInArrow(_emit_phrases(window, phrase, True), "phrase long, doc_id long, at int")
     places = placed.join(confirmed.hint("merge"), "phrase").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
 
