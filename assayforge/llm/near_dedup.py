@@ -200,7 +200,8 @@ def _resolve(similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # a row is two chunks: one at a time in Python objects
+                row = batch.slice(at, 1).to_pylist()[0]
                 one, two = row["x"], row["y"]
                 same = row["cx"] == row["cy"]
                 kx, ky = (np.array([m["keys"] for m in side], np.int64) for side in (one, two))

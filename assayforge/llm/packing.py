@@ -40,7 +40,7 @@ from assayforge.llm.common import checkpointed
 SIZE = 1024
 END_ID = 2
 #: Chunks that a worker remembers, in two generations.
-MEMO = 250_000
+MEMO = 120_000
 #: Pieces in a bucket, about.
 BUCKET_ROWS = 50_000
 
