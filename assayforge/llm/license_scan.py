@@ -1,20 +1,26 @@
 """License notices by conditional compression.
 
-Each candidate block (a line that names a license, copyright, permission or the
-like) is compressed alone and once for each template, with the template as raw
-zstandard dictionary. The bytes that a template saves rank it; the best few are
-confirmed by the exact differences in wording: words of the template that the
-block lacks and words within the notice that the template lacks.
-
-Defined cases: null and empty texts have no blocks; of templates that save the
-same, the one with fewer differences wins, then the first in ``TEMPLATES``;
-repeated rows each give their rows; other columns are ignored. Documents without
-any candidate word never leave the JVM.
+In lines that name a license, copyright, permission or the like, every template
+is looked for around the candidate words: from each word that can be the first of
+a notice, the template is compared with the words that follow, as far as a notice
+of its length can reach. What has enough of the template's words in order is
+confirmed, with the exact differences in wording: words of the template that the
+notice lacks and words within the notice that the template lacks. Each confirmed
+notice is cut out and compressed alone and with the template as raw zstandard
+dictionary; the bytes saved rank templates that claim the same words.
+
+Defined cases: null and empty texts have no notices; of templates that save the
+same, the one with fewer differences wins, then the first in ``TEMPLATES``; no
+word counts for two notices; repeated rows each give their rows; other columns are
+ignored. Documents without any candidate word never leave the JVM.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -48,57 +54,110 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
 )
 CANDIDATE = r"(?i)licen[cs]e|copyright|\bpermission|redistribut|all rights reserved|public domain|\bwaived\b|spdx|\bcc[ -](by|0)"
-#: Templates that are compared word by word, of those that save most.
-CONFIRMED = 4
-#: Least share of a template's words that a block must have, in order.
+#: Least share of a template's words that a notice must have, in order.
 COVERED = 0.8
+#: A notice reaches over twice its template's words and so many more.
+MARGIN = 16
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
 def _words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [m.group().lower() for m in WORD.finditer(text)]
 
 
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.templates = templates
         self.words = [_words(t) for _, t in templates]
+        self.counts = [Counter(w) for w in self.words]
+        self.least = [next(n for n in range(len(w) + 1) if n >= COVERED * len(w)) for w in self.words]
+        # One of these is the first word of any notice that lacks no more than it may.
+        self.first = [set(w[: len(w) - n + 1]) for w, n in zip(self.words, self.least, strict=True)]
+        self.reach = [2 * len(w) + MARGIN for w in self.words]
         params = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=17)
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.candidate = re.compile(CANDIDATE)
 
-    def difference(self, template: int, block: list[str]) -> tuple[int, list[str], list[str]]:
-        """(words in common in order, template words that are missing, words put between)."""
+    def enough(self, template: int, block: list[str | None]) -> bool:
+        """Whether the block has as many of the template's words as a notice must, in any order."""
+        need, have = self.least[template], Counter(block)
+        return sum(min(n, have[w]) for w, n in self.counts[template].items()) >= need
+
+    def difference(self, template: int, block: list[str | None]) -> tuple[list[int], list[str], list[str | None]] | None:
+        """(places in the block of the words in common in order, template words that are missing,
+        words put between), or None. Words at the ends that stand further off than they count are left out."""
         mine = self.words[template]
         runs = [r for r in SequenceMatcher(None, mine, block, autojunk=False).get_matching_blocks() if r.size]
-        common = sum(r.size for r in runs)
+        if not runs or sum(r.size for r in runs) < self.least[template]:
+            return None
+        best = (0, 0, 0)
+        for i in range(len(runs)):
+            score = size = 0
+            for j in range(i, len(runs)):
+                score += runs[j].size - (runs[j].b - runs[j - 1].b - runs[j - 1].size if j > i else 0)
+                size += runs[j].size
+                if size >= self.least[template] and (best[2] == 0 or score > best[0]):
+                    best = score, i, j + 1
+        runs = runs[best[1] : best[2]]
         kept = {i for r in runs for i in range(r.a, r.a + r.size)}
-        found = {i for r in runs for i in range(r.b, r.b + r.size)}
-        between = range(runs[0].b, runs[-1].b + runs[-1].size) if runs else ()
-        return common, [w for i, w in enumerate(mine) if i not in kept], [block[i] for i in between if i not in found]
+        places = [i for r in runs for i in range(r.b, r.b + r.size)]
+        found = set(places)
+        return places, [w for i, w in enumerate(mine) if i not in kept], [block[i] for i in range(places[0], places[-1] + 1) if i not in found]
+
+    def starts(self, template: int, words: list[str], marks: list[int]) -> Iterator[int]:
+        """Places of words that can be the first of a notice with a candidate word in reach."""
+        reach, first, k, done = self.reach[template], self.first[template], 0, 0
+        while k < len(marks):
+            low, k = marks[k], bisect_left(marks, marks[k] + reach)
+            begin, end = max(low - reach + 1, done), marks[k - 1] + 1
+            done = max(done, end)
+            if self.enough(template, words[begin : end + reach]):
+                for s in range(begin, end):
+                    if words[s] in first and marks[bisect_left(marks, s)] < s + reach and self.enough(template, words[s : s + reach]):
+                        yield s
+
+    def notices(self, text: str) -> list[tuple]:
+        """(offset, license, bytes saved, share saved, missing, added) of every confirmed notice, by offset."""
+        spans = [m.span() for m in WORD.finditer(text)]
+        words: list[str | None] = [text[a:b].lower() for a, b in spans]
+        begins = [a for a, _ in spans]
+        marks = sorted({min(bisect_left(begins, m.start() + 1) - 1, len(words) - 1) for m in self.candidate.finditer(text)} - {-1})
+
+        def confirmed(i: int, s: int) -> tuple | None:
+            block = words[s : s + self.reach[i]]
+            if (found := self.difference(i, block)) is None:
+                return None
+            places, missing, added = [s + p for p in found[0]], found[1], [w for w in found[2] if w is not None]
+            raw = text[spans[places[0]][0] : spans[places[-1]][1]].encode()
+            plain = len(self.alone.compress(raw))
+            saved = plain - len(self.given[i].compress(raw))
+            return -saved, len(missing) + len(added), i, s, places, saved / plain, missing, added
+
+        heap = [c for i, mine in enumerate(self.words) if mine for s in self.starts(i, words, marks) if (c := confirmed(i, s))]
+        heapq.heapify(heap)
+        rows = []
+        while heap:
+            saved, _, i, s, places, share, missing, added = heapq.heappop(heap)
+            if any(words[p] is None for p in places):
+                # Another notice has some of these words: compared again without them.
+                if again := confirmed(i, s):
+                    heapq.heappush(heap, again)
+                continue
+            for p in places:
+                words[p] = None
+            rows.append((begins[places[0]], self.templates[i][0], -saved, share, missing, added))
+        return sorted(rows, key=lambda r: r[0])
 
     def block(self, text: str) -> tuple[str, int, float, list[str], list[str]] | None:
-        """(license, bytes saved, share saved, missing, added) of the best confirmed template."""
-        raw = text.encode()
-        plain = len(self.alone.compress(raw))
-        saved = [plain - len(c.compress(raw)) for c in self.given]
-        ranked = sorted(range(len(saved)), key=lambda i: (-saved[i], i))[:CONFIRMED]
-        words, best = _words(text), None
-        for i in ranked:
-            if saved[i] <= 0:
-                break
-            common, missing, added = self.difference(i, words)
-            if common >= COVERED * len(self.words[i]):
-                rank = (-(saved[i]), len(missing) + len(added), i)
-                if best is None or rank < best[0]:
-                    best = rank, (self.templates[i][0], saved[i], saved[i] / plain, missing, added)
-        return best and best[1]
+        """(license, bytes saved, share saved, missing, added) of the notice that saves most."""
+        return max((r[1:] for r in self.notices(text)), key=lambda r: r[1], default=None)
 
     def scan(self, text: str) -> Iterator[tuple]:
         for number, line in enumerate(text.split("\n")):
-            if self.candidate.search(line) and (found := self.block(line.strip())):
-                yield number, *found
+            if self.candidate.search(line):
+                for found in self.notices(line):
+                    yield number, *found[1:]
 
 
 _scanner: list[Scanner] = []
@@ -115,8 +174,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per confirmed line of (doc_id, text): doc_id, line (from 0), license, saved bytes,
-    share of the line's compressed size that was saved, missing and added words."""
+    """Per confirmed notice of (doc_id, text): doc_id, line (from 0), license, saved bytes,
+    share of the notice's compressed size that was saved, missing and added words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
     return docs.mapInArrow(_run, "doc_id long, line int, license string, saved int, share double, missing array<string>, added array<string>")
 

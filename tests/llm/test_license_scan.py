@@ -1,4 +1,6 @@
-from assayforge.llm.license_scan import TEMPLATES, Scanner, scan
+import re
+
+from assayforge.llm.license_scan import CANDIDATE, TEMPLATES, Scanner, scan
 from tests.conftest import SMALL
 from tests.llm import cases
 
@@ -34,3 +36,15 @@ def test_odd_tables(spark):
     got = sorted((r["doc_id"] or 0, r["line"], r["license"]) for r in scan(cases.table(spark, rows)).collect())
     assert got == [(0, 0, "Proprietary"), (3, 0, "MIT"), (3, 1, "MIT")]
     assert scan(cases.empty(spark)).count() == 0
+
+
+def test_notices_inside_long_lines(spark):
+    texts = [" ".join((r["text"] or "").split()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    texts = [t for t in texts if len(t) > 3500 and not re.search(CANDIDATE, t)][:3]
+    s = Scanner()
+    assert texts
+    for t in texts:
+        for name, text in TEMPLATES:
+            assert [r[:2] + r[4:] for r in s.scan(f"{t} {text} {t}")] == [(0, name, [], [])]
+        found = s.scan(f"{t} This work is kindly licensed under the GNU General Public License, version 3 {t}")
+        assert [(r[1], r[4], r[5]) for r in found] == [("GPL-3.0", [], ["kindly"])]
