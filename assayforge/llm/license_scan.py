@@ -1,7 +1,7 @@
 """License notices by conditional compression.
 
-In lines that name a license, copyright, permission or the like, every template
-is looked for around the candidate words: from each word that can be the first of
+In texts that name a license, copyright, permission or the like, every template
+is looked for around these candidate words, across line breaks: from each word that can be the first of
 a notice, the template is compared with the words that follow, as far as a notice
 of its length can reach. What has enough of the template's words in order is
 confirmed, with the exact differences in wording: words of the template that the
@@ -11,7 +11,9 @@ dictionary; the bytes saved rank templates that claim the same words.
 
 Defined cases: null and empty texts have no notices; of templates that save the
 same, the one with fewer differences wins, then the first in ``TEMPLATES``; no
-word counts for two notices; repeated rows each give their rows; other columns are
+word counts for two notices; a notice is in the line of its first word; of a
+template that names none of these, enough words are candidates too that no notice
+can lack them all; repeated rows each give their rows; other columns are
 ignored. Documents without any candidate word never leave the JVM.
 """
 
@@ -53,31 +55,47 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
 )
-CANDIDATE = r"(?i)licen[cs]e|copyright|\bpermission|redistribut|all rights reserved|public domain|\bwaived\b|spdx|\bcc[ -](by|0)"
+CANDIDATE = r"(?i)licen[cs]e|copyright|\bpermission|redistribut|all\W+rights\W+reserved|public\W+domain|\bwaived\b|spdx|\bcc\W+(by|0)"
 #: Least share of a template's words that a notice must have, in order.
 COVERED = 0.8
 #: A notice reaches over twice its template's words and so many more.
 MARGIN = 16
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
+#: A line break with the marks of a comment that goes on.
+BREAK = re.compile(r"\s*\n[\s#*/;%!>|-]*")
 
 
 def _words(text: str) -> list[str]:
     return [m.group().lower() for m in WORD.finditer(text)]
 
 
+def _least(n_words: int) -> int:
+    return next(n for n in range(n_words + 1) if n >= COVERED * n_words)
+
+
+def candidates(templates=TEMPLATES) -> str:
+    """Pattern of the words by which notices of these templates are found."""
+    more = set()
+    for _, text in templates:
+        if not re.search(CANDIDATE, text):
+            words = _words(text)
+            more |= set(sorted(words, key=lambda w: (-len(w), w))[: len(words) - _least(len(words)) + 1])
+    return "|".join([CANDIDATE.replace("(?i)", "(?iu)") if more else CANDIDATE, *(re.escape(w) for w in sorted(more))])
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.templates = templates
         self.words = [_words(t) for _, t in templates]
         self.counts = [Counter(w) for w in self.words]
-        self.least = [next(n for n in range(len(w) + 1) if n >= COVERED * len(w)) for w in self.words]
+        self.least = [_least(len(w)) for w in self.words]
         # One of these is the first word of any notice that lacks no more than it may.
         self.first = [set(w[: len(w) - n + 1]) for w, n in zip(self.words, self.least, strict=True)]
         self.reach = [2 * len(w) + MARGIN for w in self.words]
         params = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=17)
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
-        self.candidate = re.compile(CANDIDATE)
+        self.candidate = re.compile(candidates(templates))
 
     def enough(self, template: int, block: list[str | None]) -> bool:
         """Whether the block has as many of the template's words as a notice must, in any order."""
@@ -129,7 +147,7 @@ class Scanner:
             if (found := self.difference(i, block)) is None:
                 return None
             places, missing, added = [s + p for p in found[0]], found[1], [w for w in found[2] if w is not None]
-            raw = text[spans[places[0]][0] : spans[places[-1]][1]].encode()
+            raw = BREAK.sub(" ", text[spans[places[0]][0] : spans[places[-1]][1]]).encode()
             plain = len(self.alone.compress(raw))
             saved = plain - len(self.given[i].compress(raw))
             return -saved, len(missing) + len(added), i, s, places, saved / plain, missing, added
@@ -154,30 +172,33 @@ class Scanner:
         return max((r[1:] for r in self.notices(text)), key=lambda r: r[1], default=None)
 
     def scan(self, text: str) -> Iterator[tuple]:
-        for number, line in enumerate(text.split("\n")):
-            if self.candidate.search(line):
-                for found in self.notices(line):
-                    yield number, *found[1:]
+        if self.candidate.search(text):
+            number = at = 0
+            for offset, *found in self.notices(text):
+                number, at = number + text.count("\n", at, offset), offset
+                yield number, *found
 
 
-_scanner: list[Scanner] = []
+_scanners: dict[tuple, Scanner] = {}
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if not _scanner:
-        _scanner.append(Scanner())
+def _run(batches: Iterator[pa.RecordBatch], templates: tuple) -> Iterator[pa.RecordBatch]:
+    if templates not in _scanners:
+        _scanners[templates] = Scanner(templates)
     for batch in batches:
-        rows = [(d, *r) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in _scanner[0].scan(t)]
+        rows = [(d, *r) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in _scanners[templates].scan(t)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "line", "license", "saved", "share", "missing", "added"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per confirmed notice of (doc_id, text): doc_id, line (from 0), license, saved bytes,
-    share of the notice's compressed size that was saved, missing and added words."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
-    return docs.mapInArrow(_run, "doc_id long, line int, license string, saved int, share double, missing array<string>, added array<string>")
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """Per confirmed notice of (doc_id, text): doc_id, line (from 0) of its first word, license,
+    saved bytes, share of the notice's compressed size that was saved, missing and added words.
+    ``templates``: pairs of license and wording."""
+    templates = tuple((name, text) for name, text in templates)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(candidates(templates)))
+    return docs.mapInArrow(lambda batches: _run(batches, templates), "doc_id long, line int, license string, saved int, share double, missing array<string>, added array<string>")
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from assayforge.llm.license_scan import CANDIDATE, TEMPLATES, Scanner, scan
 from tests.conftest import SMALL
@@ -48,3 +49,28 @@ def test_notices_inside_long_lines(spark):
             assert [r[:2] + r[4:] for r in s.scan(f"{t} {text} {t}")] == [(0, name, [], [])]
         found = s.scan(f"{t} This work is kindly licensed under the GNU General Public License, version 3 {t}")
         assert [(r[1], r[4], r[5]) for r in found] == [("GPL-3.0", [], ["kindly"])]
+
+
+def test_notices_across_lines():
+    s = Scanner()
+    for name, text in TEMPLATES:
+        for width in (20, 45, 72):
+            for mark in ("", "# ", " * ", "// "):
+                wrapped = "\n".join(mark + line for line in textwrap.wrap(text, width, break_on_hyphens=False))
+                assert [r[:2] + r[4:] for r in s.scan(f"import this\n{wrapped}\n\nprint(1)")] == [(1, name, [], [])], (name, width, mark)
+
+
+def test_every_notice_of_a_line():
+    line = "Released under the MIT License. Licensed under CC BY 4.0. All rights reserved. All rights reserved."
+    assert [r[1] for r in Scanner().scan(line)] == ["MIT", "CC-BY-4.0", "Proprietary", "Proprietary"]
+    every = list(Scanner().scan(" ".join(t for _, t in TEMPLATES)))
+    assert [(r[1], r[4], r[5]) for r in every] == [(n, [], []) for n, _ in TEMPLATES]
+
+
+def test_own_templates(spark):
+    own = [("Beer", "As long as you retain this notice you can do whatever you want with this stuff."), ("Été", "Usage Élargi")]
+    rows = [(1, "x\n# As long as you retain this\n# notice you may do whatever you want with this stuff."), (2, "Released under the MIT License."), (3, "usage élargi")]
+    got = sorted((r["doc_id"], r["line"], r["license"], r["missing"], r["added"]) for r in scan(cases.table(spark, rows), own).collect())
+    assert got == [(1, 1, "Beer", ["can"], ["may"]), (3, 0, "Été", [], [])]
+    wrapped = cases.table(spark, [(4, "Copyright nobody.\nAll rights\n reserved."), (5, "All rights\nreserved")])
+    assert sorted((r["doc_id"], r["line"], r["license"]) for r in scan(wrapped).collect()) == [(4, 1, "Proprietary"), (5, 0, "Proprietary")]
