@@ -9,9 +9,10 @@ with a smaller id, or earlier in the same one.
    anchors and about one word in seven starts an anchor.
 2. Anchors that occur twice in the corpus are confirmed by a counting
    aggregation with map-side combine.
-3. The confirmed phrases of each shard of documents are compiled into an
-   Aho-Corasick automaton (words are its symbols) and every document of the
-   shard is streamed through it, which locates each occurrence.
+3. A join on the phrases' hashes locates each anchor that is a confirmed phrase.
+   The phrases at these places are compiled, about a megabyte of text at a time,
+   into an Aho-Corasick automaton (words are its symbols), and the texts that have
+   such places are streamed through it. It locates nothing beyond the join.
 4. Only windows whose anchor was located are hashed and shuffled; the smallest
    document of each window hash is again an aggregation with map-side combine.
    A document keeps what it owns and drops the rest.
