@@ -22,7 +22,11 @@ def _without_stereo(mol: Mol) -> Mol:
     return out
 
 
-def tautomers(mol: Mol, most: int = 1000) -> list[str]:
+#: Tautomers that are looked at.
+TAUTOMERS = 1000
+
+
+def tautomers(mol: Mol, most: int = TAUTOMERS) -> list[str]:
     """Spellings that 1,3 hydrogen shifts reach (H-X-Y=Z to X=Y-Z-H, an end being N, O or S),
     at most ``most``; longer conjugated and ring shifts that need more steps are reached one by one."""
     start = write(_without_stereo(mol))
@@ -59,9 +63,13 @@ def _kekule(mol: Mol) -> Mol:
 
 
 def canonical_tautomer(mol: Mol) -> Mol:
-    """The tautomer with most C=O and aromatic atoms, then the first by spelling."""
+    """The tautomer with most C=O and aromatic atoms, then the first by spelling; an error
+    beyond ``TAUTOMERS``, where the choice would depend on the form given."""
+    found = tautomers(mol, TAUTOMERS + 1)
+    if len(found) > TAUTOMERS:
+        raise ValueError(f"more than {TAUTOMERS} tautomers")
     score = lambda s: (sum(m.bonds[b] == 2 and {m.atoms[b[0]].symbol, m.atoms[b[1]].symbol} == {"C", "O"} for b in m.bonds) + sum(a.aromatic for a in m.atoms)) if (m := checked(s)) else 0
-    return checked(min(tautomers(mol, 64), key=lambda s: (-score(s), s)))
+    return checked(min(found, key=lambda s: (-score(s), s)))
 
 
 FUNCTIONS = {"fragment": largest_fragment, "neutralize": neutralized, "isotopes": _without_isotopes, "stereo": _without_stereo, "tautomer": canonical_tautomer}

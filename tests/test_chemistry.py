@@ -72,6 +72,16 @@ def test_standardize_and_tautomers():
     assert standardize.standardize("C1C")["status"] == "invalid"
 
 
+def test_standard_tautomer_of_many(monkeypatch):
+    # 126 tautomers.
+    forms = ("CC(=O)CC(=O)CC(=O)CC(=O)CC(=O)C", "C=C(C=C(C=C(C=C(C=C(C)O)O)O)O)O", "CC(C=C(CC(CC(CC(C)=O)=O)=O)O)=O")
+    found = [standardize.standardize(f, ("tautomer",)) for f in forms]
+    assert {(s["status"], s["result"]) for s in found} == {("ok", smiles.write(smiles.parse(forms[0])))}
+    monkeypatch.setattr(standardize, "TAUTOMERS", 20)
+    found = standardize.standardize(forms[1], ("tautomer",))
+    assert found["status"] == "error" and "20 tautomers" in found["error"]
+
+
 def test_over_columns(spark):
     rows = [(0, "CCO"), (1, None), (2, "C C"), (3, "C1CC"), (4, "OCC"), (5, "CC(=O)[O-].[Na+]")]
     df = spark.createDataFrame(rows, "record_id long, structure string")
