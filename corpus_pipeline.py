@@ -15,8 +15,8 @@ from assayforge.llm.common import DOCUMENT_COLUMNS, checkpointed
 
 #: Least share of letters that the predicted language must have.
 LANGUAGE_SHARE = 0.5
-#: Least quality score that stays.
-QUALITY = 0.5
+#: Least quality score that stays: what the classifier counts as good.
+QUALITY = quality.GOOD
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier holds at least as likely good as not."""
+    """Documents that the classifier predicts to be good."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.annotate(docs.select(*DOCUMENT_COLUMNS), model).where(F.col("score") >= QUALITY).select(*DOCUMENT_COLUMNS)
 

@@ -46,3 +46,13 @@ def test_run(spark):
     first = {i for i, c in kept.items() if i == c} & good
     assert len(first & ids) >= 0.97 * len(first)
     assert ids <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_quality_stage_keeps_what_the_classifier_predicts(spark, monkeypatch):
+    found = [(i, x / 100) for i, x in enumerate((0, 49, 50, 60, 69, 70, 71, 100))]
+    docs = cases.table(spark, [(i, "text") for i, _ in found])
+    scores = spark.createDataFrame(found, "doc_id long, score double")
+    monkeypatch.setattr(cp.quality, "train", lambda docs, labels: None)
+    monkeypatch.setattr(cp.quality, "annotate", lambda docs, model: docs.join(scores, "doc_id"))
+    got = {r["doc_id"] for r in cp.classify_quality(spark, docs, SMALL).collect()}
+    assert got == {r["doc_id"] for r in scores.where(f"score >= {cp.quality.GOOD}").collect()} == {5, 6, 7}
