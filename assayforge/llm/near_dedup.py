@@ -10,7 +10,10 @@ similarity allows, so the band loses nothing. Classes are the connected
 components of links; the class id is the smallest doc_id.
 
 At similarity 0.8 a pair has no key in common with probability about
-(1 - 0.8 ** 4) ** 20 = 0.00003; that is the method's own loss.
+(1 - 0.8 ** 4) ** 20 = 0.00003; that is the method's own loss. It is larger for
+texts of few shingles: one of 4 shingles has one tuple only, and shares it with the
+same text and one word more at an end (similarity exactly 0.8) in a sketch with
+probability 1/5, so (4/5) ** 20 = 1.2 % of such pairs are not compared.
 
 Exact copies are one candidate. A bucket is not expanded into pairs: first its
 smallest id is compared with the rest, then, where several classes are left, the
