@@ -10,23 +10,31 @@ similarity allows, so the band loses nothing. Classes are the connected
 components of links; the class id is the smallest doc_id.
 
 At similarity 0.8 a pair has no key in common with probability about
-(1 - 0.8 ** 4) ** 20 = 0.00003; that is the method's own loss. It is larger for
-texts of few shingles: one of 4 shingles has one tuple only, and shares it with the
-same text and one word more at an end (similarity exactly 0.8) in a sketch with
-probability 1/5, so (4/5) ** 20 = 1.2 % of such pairs are not compared.
+(1 - 0.8 ** 4) ** 20 = 0.00003; that is the method's own loss. Texts of few shingles
+would lose more, so those of ``TUPLE`` to ``FEW`` shingles also get the key of the
+whole sequence and of the sequence without each one of its shingles: a pair that
+differs by one shingle is always compared.
 
 Exact copies are one candidate. A bucket is not expanded into pairs: first its
 smallest id is compared with the rest, then, where several classes are left, the
-member with most links. Buckets that are still of several classes are compared
-whole, in chunks of about ``CHUNK`` members: a task gets two chunks of a bucket,
-looks at each pair only in the first bucket that it shares and only while its
-members are of different classes, and returns links alone. So no candidate goes
-untested, whatever the size of a bucket. Links and classes stay distributed.
+member with most links. Of buckets that are still of several classes only marks
+travel: id, class, length, keys and a parity signature of ``BITS`` bits, about 300
+bytes a member whatever its text is, in chunks of about ``CHUNK`` members; a bucket
+of c chunks sends each of them to c tasks. A task looks at every pair of two chunks,
+of different classes, in the first bucket that the pair shares. It rules a pair out
+only by what is certain: lengths that 0.8 does not allow, or more bits of
+difference between the signatures than shingles may go unmatched (a shingle flips
+one bit, so there are never more differing bits than unmatched shingles). First
+each member's best partner is aligned; then, with the classes that gives, every pair
+that was not ruled out. So no candidate goes untested, whatever the size of a
+bucket. Links and classes stay distributed.
 
 Defined cases: null texts and texts without words are classes of their own;
 texts of one to four words are one shingle; rows that share a doc_id share a
 class, the smallest found; rows without a doc_id have class null; other columns
-are ignored.
+are ignored. Very long texts: the alignment takes time by the places where the two
+texts agree, and where one passage fills both, a 64th of the product of their
+lengths; its memory stays in proportion to the texts.
 """
 
 from __future__ import annotations
@@ -35,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +54,16 @@ SHINGLE = 5
 SKETCHES = 20
 TUPLE = 4
 SIMILAR = 0.8
-#: Members of a bucket that are compared in one task with as many others, about.
-CHUNK = 128
+#: Members of a bucket whose marks are compared in one task with as many others', about.
+CHUNK = 1024
+#: Bits of the parity signature.
+BITS = 1024
+#: Texts of up to so many shingles also get the keys that allow for one shingle less.
+FEW = 9
+#: Places of agreement for each shingle, above which an alignment is done in bit rows.
+DENSE = 32
+#: Bytes of bit rows that an alignment remembers.
+ROWS = 1 << 26
 
 
 def shingles(words: tv.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +107,18 @@ def sketch(own: np.ndarray, sketches: int = SKETCHES, size: int = TUPLE) -> np.n
         return tv.mix((own[at] * tv.powers(tv.WORD_BASE, at.shape[1])).sum(axis=1) + factor)
 
 
+def few_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of a text's whole sequence and of it without each one of its shingles."""
+    with np.errstate(over="ignore"):
+        rows = [own, *(np.delete(own, i) for i in range(len(own)))]
+        return tv.mix(np.array([(r * tv.powers(tv.WORD_BASE, len(r))).sum() + np.uint64(len(r)) * np.uint64(tv.BYTE_BASE) for r in rows], np.uint64))
+
+
+def signature(own: np.ndarray) -> bytes:
+    """Of each of ``BITS`` bits, whether an odd number of labelled shingles falls on it."""
+    return np.packbits(np.bincount((own >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+
+
 def _emit_sketches(k: int, sketches: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +127,14 @@ def _emit_sketches(k: int, sketches: int, size: int):
                 own = labelled(hashes, first)
                 lo, hi = words.rows
                 some = np.flatnonzero(np.diff(first))
-                keys = [tv.signed(sketch(own[first[i] : first[i + 1]], sketches, size)) for i in some.tolist()]
-                off = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * sketches)
-                values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+                keys = []
+                for i in some.tolist():
+                    mine = own[first[i] : first[i + 1]]
+                    keys.append(sketch(mine, sketches, size))
+                    if size <= len(mine) <= FEW:
+                        keys[-1] = np.concatenate([keys[-1], few_keys(mine)])
+                off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32))
+                values = pa.array(tv.signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64))
                 at = pa.array(some)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("print").take(at), pa.ListArray.from_arrays(off, values)], ["doc_id", "print", "keys"])
@@ -109,16 +143,23 @@ def _emit_sketches(k: int, sketches: int, size: int):
 
 
 def _emit_sequences(k: int):
-    """Rows of (doc_id, shingle hashes of 32 bits as bytes)."""
+    """Rows of (doc_id, shingle hashes of 32 bits as bytes, how many, parity signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in tv.words_of(batch.column("text")):
                 hashes, first = shingles(words, k)
+                own = labelled(hashes, first)
                 raw = (hashes >> np.uint64(32)).astype(np.uint32).tobytes()
                 lo, hi = words.rows
-                seq = [raw[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(seq, pa.binary())], ["doc_id", "seq"])
+                spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                columns = [
+                    batch.column("doc_id").slice(lo, hi - lo),
+                    pa.array([raw[4 * a : 4 * b] for a, b in spans], pa.binary()),
+                    pa.array(np.diff(first).astype(np.int32)),
+                    pa.array([signature(own[a:b]) for a, b in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "length", "sig"])
 
     return run
 
@@ -138,33 +179,56 @@ def _rising(x: np.ndarray) -> int:
 
 def matches(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
     """Whether aligning the two sequences reaches the similarity."""
-    needed = similar / (1 + similar) * (len(a) + len(b))
-    if min(len(a), len(b)) < needed - 1e-9:
+    needed = int(np.ceil(similar / (1 + similar) * (len(a) + len(b)) - 1e-9))
+    band = len(a) + len(b) - 2 * needed
+    short = min(len(a), len(b))
+    if short < needed:
         return False
+    # What the texts begin and end with in common is part of some best alignment.
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    a, b, short = a[head:], b[head:], short - head
+    differ = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
+    tail = int(differ[0]) if len(differ) else short
+    a, b, needed = a[: len(a) - tail], b[: len(b) - tail], needed - head - tail
+    if needed <= 0:
+        return True
     values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
     in_a = np.bincount(np.searchsorted(values, a), minlength=len(values))
-    if np.minimum(in_a, counts - in_a).sum() < needed - 1e-9:
+    if np.minimum(in_a, counts - in_a).sum() < needed:
         return False  # even without order there are too few in common
-    once = (in_a == 1) & (counts == 2)
-    place = np.empty(len(values), np.int64)
-    place[np.searchsorted(values, b)] = np.arange(len(b))
-    mine = np.searchsorted(values, a)
-    if _rising(place[mine[once[mine]]]) >= needed - 1e-9:
-        return True  # shingles that occur once in each are enough
-    return banded(a, b, int((len(a) + len(b)) - 2 * np.ceil(needed - 1e-9))) >= needed - 1e-9
+    return banded(a, b, band) >= needed
 
 
 def banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Longest common subsequence over cells at most ``band`` off the diagonal."""
-    band = max(band, abs(len(a) - len(b)))
-    width = 2 * band + 1
-    # row[c]: best over a[:i], b[:i + c - band]
-    row = np.zeros(width + 1, np.int64)
-    padded = np.concatenate([np.zeros(band, np.int64) - 1, b.astype(np.int64), np.zeros(band + len(a) + 1, np.int64) - 1])
-    for i, x in enumerate(a.tolist()):
-        step = np.maximum(row[:width] + (padded[i : i + width] == x), row[1:])
-        row[:width] = np.maximum.accumulate(step)
-    return int(row[len(b) - len(a) + band])
+    """Longest common subsequence over cells at most ``band`` off the diagonal, or a longer one
+    where a passage that fills both makes bit rows the shorter way."""
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    times = hi - lo
+    if times.sum() > DENSE * (len(a) + len(b)):
+        return _bit_rows(a, b)
+    # Cells that agree, row by row, from the right: a rising run has one of each row at most.
+    row = np.repeat(np.arange(len(a)), times)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    column = order[hi[row] - 1 - nth]
+    return _rising(column[np.abs(row - column) <= band])
+
+
+def _bit_rows(a: np.ndarray, b: np.ndarray) -> int:
+    """Longest common subsequence, a row of the table as the bits of one integer."""
+    full = (1 << len(b)) - 1
+    known: dict[int, int] = {}
+    left = full
+    for x in a.tolist():
+        at = known.get(x)
+        if at is None:
+            at = int.from_bytes(np.packbits(b == x, bitorder="little").tobytes(), "little")
+            if len(known) * len(b) < 8 * ROWS:
+                known[x] = at
+        hit = left & at
+        left = (left + hit | left - hit) & full
+    return len(b) - left.bit_count()
 
 
 def _verify(similar: float):
@@ -196,39 +260,60 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
             return label
 
 
-def _resolve(similar: float):
-    """Links within the candidates of two chunks of one bucket, of which each pair is
-    looked at only in the first bucket that its members share."""
+def _values(column: pa.Array, row: int, kind) -> np.ndarray:
+    """The numbers of one row's list; of a list of lists or byte strings of one size, theirs."""
+    flat = column[row].values
+    if pa.types.is_list(flat.type):
+        flat = flat.flatten()
+    return np.frombuffer(b"".join(flat.to_pylist()), kind) if pa.types.is_binary(flat.type) else np.asarray(flat)
+
+
+def _pairs(similar: float, sketches: int, best: bool):
+    """Pairs of two chunks' members that no bound rules out, each in the first sketch bucket it
+    shares; with ``best`` for each member the one pair whose signatures are closest."""
+    apart = (1 - similar) / (1 + similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for at in range(batch.num_rows):  # a row is two chunks: one at a time in Python objects
-                row = batch.slice(at, 1).to_pylist()[0]
-                one, two = row["x"], row["y"]
-                same = row["cx"] == row["cy"]
-                kx, ky = (np.array([m["keys"] for m in side], np.int64) for side in (one, two))
-                class_ = {m["id"]: m["class"] for m in one + two}  # grows together as links are found
-                root = {c: c for c in class_.values()}
-
-                def top(c: int) -> int:
-                    while root[c] != c:  # noqa: B023
-                        c = root[c]  # noqa: B023
-                    return c
-
-                seq = [[np.frombuffer(m["seq"], np.uint32) for m in side] for side in (one, two)]
-                for i, m in enumerate(one):
-                    equal = ky == kx[i]
-                    # argmax is the first equal band; here the key itself is one that both have
-                    for j in np.flatnonzero(equal.any(axis=1) & (kx[i][equal.argmax(axis=1)] == row["key"])).tolist():
-                        o = two[j]
-                        if same and j <= i or m["id"] == o["id"]:
-                            continue
-                        p, q = top(class_[m["id"]]), top(class_[o["id"]])
-                        if p != q and matches(seq[0][i], seq[1][j], similar):
-                            root[max(p, q)] = min(p, q)
-                            out.append((m["id"], o["id"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            for row in range(batch.num_rows):
+                key = batch.column("key")[row].as_py()
+                same = batch.column("cx")[row].as_py() == batch.column("cy")[row].as_py()
+                side = []
+                for name in ("x", "y"):
+                    chunk = batch.column(name)
+                    get = lambda field, kind, chunk=chunk: _values(pc.struct_field(chunk, field), row, kind)  # noqa: E731, B023
+                    ids = get("id", np.int64)
+                    side.append((ids, get("class", np.int64), get("length", np.int64).astype(np.int64), get("sig", np.uint64).reshape(len(ids), -1), get("keys", np.int64).reshape(len(ids), sketches)))
+                    if same:
+                        side.append(side[0])
+                        break
+                (ix, cx, nx, sx, kx), (iy, cy, ny, sy, ky) = side
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for lo in range(0, len(ix), 128):
+                    here = slice(lo, lo + 128)
+                    total = nx[here, None] + ny[None, :]
+                    may = (cx[here, None] != cy[None, :]) & (np.minimum(nx[here, None], ny[None, :]) * (1 + similar) >= similar * total - 1e-6)
+                    if same:
+                        may &= np.arange(lo, lo + len(total))[:, None] < np.arange(len(iy))[None, :]
+                    i, j = np.nonzero(may)
+                    far = np.bitwise_count(sx[here][i] ^ sy[j]).sum(axis=1, dtype=np.int64)
+                    near = far <= apart * total[i, j] + 1e-6
+                    i, j, far = i[near] + lo, j[near], far[near] / total[i[near], j[near]]
+                    equal = kx[i] == ky[j]
+                    own = kx[i, equal.argmax(axis=1)] == key
+                    # A bucket of another kind than these sketches' has each pair; repeats go later.
+                    own |= ~(kx[i] == key).any(axis=1) | ~equal.any(axis=1)
+                    found.append((i[own], j[own], far[own]))
+                i, j, far = (np.concatenate(c) for c in zip(*found, strict=True))
+                if best:
+                    one, two = np.concatenate([ix[i], iy[j]]), np.concatenate([iy[j], ix[i]])
+                    far = np.concatenate([far, far])
+                    order = np.lexsort((two, far, one))
+                    first = np.unique(one[order], return_index=True)[1]
+                    one, two, far = one[order][first], two[order][first], far[order][first]
+                else:
+                    one, two = np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(far)], ["a", "b", "far"])
 
     return run
 
@@ -245,8 +330,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
     bucket = checkpointed(rows.join(shared, "key"))
     needed = bucket.select(F.col("id").alias("doc_id")).distinct()
-    seqs = known.join(needed, "doc_id").mapInArrow(_emit_sequences(shingle), "doc_id long, seq binary").withColumnRenamed("doc_id", "id")
-    items = checkpointed(seqs.join(one, "id").dropDuplicates(["id"]))
+    seqs = known.join(needed, "doc_id").mapInArrow(_emit_sequences(shingle), "doc_id long, seq binary, length int, sig binary").withColumnRenamed("doc_id", "id")
+    items = checkpointed(seqs.join(one.select("id", F.slice("keys", 1, sketches).alias("keys")), "id").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         wide = pairs.join(items.select(F.col("id").alias("a"), F.col("seq").alias("sa")), "a").join(items.select(F.col("id").alias("b"), F.col("seq").alias("sb")), "b")
@@ -267,14 +352,23 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
     tried = state.join(hub.select("key", F.col("id").alias("pivot"), F.col("class").alias("own")), "key").where("class != own")
     more = verified(tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
     label = components(_with_classes(more, label))
-    # What is left is compared whole, chunk by chunk of each bucket.
-    state = mixed().join(items, "id")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
-    parts = state.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "class", "seq", "keys")).alias("m"))
-    parts = checkpointed(parts)
-    met = parts.select("key", F.col("chunk").alias("cx"), F.col("m").alias("x")).join(parts.select("key", F.col("chunk").alias("cy"), F.col("m").alias("y")), "key").where("cx <= cy")
-    last = checkpointed(met.mapInArrow(_resolve(similar), "a long, b long"))
-    label = components(_with_classes(last, label))
+
+    def left(best: bool) -> DataFrame:
+        """Pairs that are left in buckets of several classes, chunk by chunk."""
+        state = mixed().join(items.drop("seq"), "id")
+        chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
+        parts = checkpointed(state.groupBy("key", "n", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "class", "length", "sig", "keys")).alias("m")))
+        parts = parts.select("key", "n", "chunk", F.struct(*(F.col(f"m.{c}").alias(c) for c in ("id", "class", "length", "sig", "keys"))).alias("m"))
+        x = parts.select("key", "n", F.col("chunk").alias("cx"), F.col("m").alias("x"))
+        y = parts.select("key", F.col("chunk").alias("cy"), F.col("m").alias("y"))
+        met = x.where(F.col("n") > CHUNK).join(y, "key").where("cx <= cy").select("key", "cx", "cy", "x", "y")
+        alone = x.where(F.col("n") <= CHUNK).select("key", "cx", F.col("cx").alias("cy"), "x", F.lit(None).cast(x.schema["x"].dataType).alias("y"))
+        return met.unionByName(alone).mapInArrow(_pairs(similar, sketches, best), "a long, b long, far double")
+
+    best = left(True).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    more = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = components(_with_classes(more, label))
+    label = components(_with_classes(verified(left(False).select("a", "b").distinct()), label))
     classes = member.join(label.withColumnRenamed("id", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("class", "first")).alias("class_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

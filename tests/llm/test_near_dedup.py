@@ -1,18 +1,21 @@
 import random
+from collections import Counter
 
 import numpy as np
 
+from assayforge.llm import near_dedup as nd
 from assayforge.llm.near_dedup import banded, labelled, matches, near_duplicates
 from tests.llm import cases
 
 
 def lcs(a, b):
-    row = [0] * (len(b) + 1)
+    """The plain table, row by row."""
+    number = {x: i for i, x in enumerate([*a, *b])}
+    b = np.array([number[y] for y in b])
+    row = np.zeros(len(b) + 1, int)
     for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], max(row[j + 1], row[j], last + (x == y))
-    return row[-1]
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == number[x])))
+    return int(row[-1])
 
 
 def shingles(text):
@@ -33,7 +36,7 @@ def brute(rows):
     for k, x in enumerate(ids):
         for y in ids[k + 1 :]:
             a, b = sh[x], sh[y]
-            if a and b and (a == b or set(a) & set(b) and (m := lcs(a, b)) / (len(a) + len(b) - m) >= 0.8):
+            if a and b and (a == b or (c := sum((Counter(a) & Counter(b)).values())) / (len(a) + len(b) - c) >= 0.8 and (m := lcs(a, b)) / (len(a) + len(b) - m) >= 0.8):
                 p, q = top(x), top(y)
                 root[max(p, q)] = min(p, q)
     return {i: top(i) for i in ids}
@@ -80,3 +83,59 @@ def test_labels_tell_repeats_apart():
     h = np.array([5, 5, 6, 5, 5], np.uint64)
     out = labelled(h, np.array([0, 3, 5]))
     assert out[0] == out[3] and out[1] == out[4] and len(set(out.tolist())) == 3
+
+
+def test_alignment_of_texts_that_one_passage_fills():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = (rng.integers(0, 2, rng.integers(60, 150)).astype(np.uint32) for _ in range(2))
+        m = lcs(a.tolist(), b.tolist())
+        assert nd._bit_rows(a, b) == m
+        assert matches(a, b, 0.8) == (9 * m >= 4 * (len(a) + len(b)))
+    same = np.ones(60_000, np.uint32)
+    assert matches(same, same[:50_000], 0.8) and not matches(same, same[:47_000], 0.8)
+
+
+def test_very_long_texts_align():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 32, 1_000_000, dtype=np.uint64).astype(np.uint32)
+    near, far = a.copy(), a.copy()
+    near[rng.integers(0, len(a), 60_000)] = 7
+    far[rng.integers(0, len(a), 160_000)] = 7
+    assert matches(a, near, 0.8) and not matches(a, far, 0.8)
+
+
+def test_signatures_never_rule_out_more_than_is_apart():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        a = rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64)
+        b = np.concatenate([np.delete(a, rng.integers(0, len(a), rng.integers(0, 30))), rng.integers(0, 2**63, rng.integers(0, 30), dtype=np.uint64)])
+        x, y = (np.frombuffer(nd.signature(v), np.uint64) for v in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_large_bucket_in_chunks_on_both_sides_of_the_threshold(spark, monkeypatch):
+    """Near copies of one text, more than a chunk holds, with 0 to 14 edits of 150 words."""
+    monkeypatch.setattr(nd, "CHUNK", 32)
+    rng = random.Random(6)
+    base = cases.words(rng, 150)
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(len(w))] = "new" + str(rng.random())
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    assert 20 < len(set(want.values())) < 240
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(cases.table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_short_texts_that_differ_by_one_shingle(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(150):
+        w = cases.words(rng, rng.randint(8, 12))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "more"]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(cases.table(spark, rows)).collect()}
+    assert got == brute(rows) and all(got[2 * i + 1] == 2 * i for i in range(150))
