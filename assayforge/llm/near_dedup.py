@@ -16,8 +16,7 @@ whole sequence and of the sequence without each one of its shingles: a pair that
 differs by one shingle is always compared.
 
 Exact copies are one candidate. A bucket is not expanded into pairs: first its
-smallest id is compared with the rest, then, where several classes are left, the
-member with most links. Of buckets that are still of several classes only marks
+smallest id is compared with the rest. Of buckets that are still of several classes only marks
 travel: id, class, length, keys and a parity signature of ``BITS`` bits, about 300
 bytes a member whatever its text is, in chunks of about ``CHUNK`` members; a bucket
 of c chunks sends each of them to c tasks. A task looks at every pair of two chunks,
@@ -56,6 +55,8 @@ TUPLE = 4
 SIMILAR = 0.8
 #: Members of a bucket whose marks are compared in one task with as many others', about.
 CHUNK = 1024
+#: Links that one task looks after when classes are joined.
+LINKS = 200_000
 #: Bits of the parity signature.
 BITS = 1024
 #: Texts of up to so many shingles also get the keys that allow for one shingle less.
@@ -240,23 +241,31 @@ def _verify(similar: float):
     return run
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """In as many partitions as so many rows need, so that few links are few files."""
+    return df.coalesce(max(1, -(-rows // LINKS)))
+
+
 def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(id, class) of every id in links (a, b): the smallest id it is connected with.
 
-    before: classes of links seen earlier; only their changes are worked out.
-    Labels spread over links and then jump to their label's label.
+    before: classes found earlier, with which the links go on. Labels spread over
+    links and then jump to their label's label.
     """
+    if before is not None:
+        links = links.unionByName(before.where("id != class").select(F.col("id").alias("a"), F.col("class").alias("b")))
+    rows = 2 * links.count()
+    links = _dealt(links, rows)
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
-    both = checkpointed(both)
-    label = both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("class")) if before is None else before
-    label = checkpointed(label)
+    both = checkpointed(_dealt(both, rows))
+    label = checkpointed(_dealt(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("class")), rows))
     while True:
-        heard = both.join(label, "id").select(F.col("other").alias("id"), "class").unionByName(label).groupBy("id").agg(F.min("class").alias("class"))
-        jump = heard.select(F.col("id").alias("class"), F.col("class").alias("far"))
-        new = checkpointed(heard.join(jump, "class", "left").select("id", F.least("class", F.coalesce("far", "class")).alias("class")))
-        moved = new.join(label.withColumnRenamed("class", "old"), "id", "left").where("old is null or old != class").limit(1).count()
-        label = new
-        if not moved:
+        told = both.join(label, "id").select(F.col("other").alias("id"), "class", F.lit(None).cast("long").alias("old"))
+        heard = told.unionByName(label.select("id", "class", F.col("class").alias("old"))).groupBy("id").agg(F.min("class").alias("class"), F.max("old").alias("old"))
+        jump = label.select(F.col("id").alias("class"), F.col("class").alias("far"))
+        new = checkpointed(_dealt(heard.join(jump, "class", "left").select("id", F.least("class", F.coalesce("far", "class")).alias("class"), "old"), rows))
+        label = new.select("id", "class")
+        if not new.where("class != old").limit(1).count():
             return label
 
 
@@ -345,14 +354,6 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
         open_ = state.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
         return checkpointed(state.join(open_, "key"))
 
-    # The member with most links so far speaks for a bucket that is still of several classes.
-    state = mixed()
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    hub = state.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "class"), F.struct("degree", -F.col("id"))).alias("h")).select("key", "h.*")
-    tried = state.join(hub.select("key", F.col("id").alias("pivot"), F.col("class").alias("own")), "key").where("class != own")
-    more = verified(tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    label = components(_with_classes(more, label))
-
     def left(best: bool) -> DataFrame:
         """Pairs that are left in buckets of several classes, chunk by chunk."""
         state = mixed().join(items.drop("seq"), "id")
@@ -367,17 +368,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
 
     best = left(True).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     more = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = components(_with_classes(more, label))
-    label = components(_with_classes(verified(left(False).select("a", "b").distinct()), label))
+    label = components(more, label)
+    label = components(verified(left(False).select("a", "b").distinct()), label)
     classes = member.join(label.withColumnRenamed("id", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("class", "first")).alias("class_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _with_classes(links: DataFrame, label: DataFrame) -> DataFrame:
-    """Links and, for what is already in a class, a link to its smallest id."""
-    return links.unionByName(label.where("id != class").select(F.col("id").alias("a"), F.col("class").alias("b")))
-
-
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every ``documents`` text."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
