@@ -16,7 +16,9 @@ Scripts, styles and other elements without visible text never count. White space
 inside a block becomes one space; blocks are joined by a newline.
 
 Defined cases: null and empty pages and pages without an article have empty
-text; markup that is never closed ends with its parent; repeated rows each get a
+text; text outside of any element is kept, so a page without tags is its text;
+markup that is never closed ends with its parent; a quote within an unquoted value,
+or one that is never closed, is a character like any other; repeated rows each get a
 row; other columns are ignored.
 """
 
@@ -68,7 +70,8 @@ HINTS = (
 )
 TAGS = ("article", "main", "section", "div", "p", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "blockquote", "pre", "a", "h1", "h2", "h3", "figure", "span", "body")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote opens a value only after an equals sign, and only if it is closed later on.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -418,8 +421,6 @@ def blocks(nodes: list[Node], keep: np.ndarray) -> list[str]:
 
 def main_text(page: str, trees: Boosted | None = None) -> str:
     nodes = elements(parse(page))
-    if len(nodes) == 1:
-        return ""
     return "\n".join(blocks(nodes, decode(nodes, (trees or model())(features(nodes)))))
 
 

@@ -33,6 +33,17 @@ def test_unclosed_and_odd_markup():
     assert hx.main_text("<html><body><article><p>Some words in a cut page, that goes on.") == "Some words in a cut page, that goes on."
 
 
+def test_quotes_and_pages_without_tags():
+    body = "<article><p title=don't>First one, with some words.</p><p>Second one, that's longer.</p></article>"
+    want = "First one, with some words.\nSecond one, that's longer."
+    assert hx.main_text(body) == want
+    assert hx.main_text(body.replace("title=don't", "title='a > b'")) == want
+    assert hx.main_text(body.replace("title=don't", 'data-x = "a > b" class=it"s')) == want
+    assert hx.main_text(body.replace("title=don't", 'title="never closed')) == want
+    assert hx.main_text("plain  text &amp; no\ntags") == "plain text & no tags"
+    assert hx.main_text("plain text<br>and a break") == "plain text and a break"
+
+
 def test_decoding_is_closed_under_parents():
     rng, noise = random.Random(3), np.random.default_rng(3)
     for _ in range(20):
