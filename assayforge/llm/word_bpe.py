@@ -7,8 +7,12 @@ queued, and entries whose symbols have changed meanwhile are skipped when they
 come up. Decoding concatenates vocabulary strings (with the separator that the
 library uses where a file names no decoder: one space).
 
+Texts with marks or with characters that Python's tables don't know are cut into pieces by the library's own
+normaliser and pre-tokeniser, whose tables can be of another Unicode version.
+
 Defined cases: null and empty texts have no ids; strings of special tokens in a
-text become their ids, as in the library. Repeated rows are encoded again; other
+text become their ids, as in the library; a very long text is encoded chunk by chunk
+between white space, and only a chunk is ever in the queue. Repeated rows are encoded again; other
 columns are ignored.
 """
 
@@ -24,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from assayforge.llm.packing import _byte_letters
 
@@ -33,6 +38,8 @@ WORD_END = "</w>"
 #: What \s stands for in the file's patterns; str.split() also splits at \x1c-\x1f.
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 ODD = re.compile("[\\x1c-\\x1f]")
+#: Characters without a class in the tables of ``regex``, and marks, whose order in a cluster is newer than some tables.
+UNKNOWN = regex.compile(r"\p{Cn}|(?![\u0300-\u036f])\p{M}")
 
 
 class _Memo(dict):
@@ -60,6 +67,8 @@ class WordBpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.letter = [c for c, _ in sorted(_byte_letters().items(), key=lambda x: x[1])]
+        self.byte = {c: b for b, c in enumerate(self.letter)}
+        self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -94,8 +103,17 @@ class WordBpe:
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a text without white space."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [i for piece in self.pieces.findall(text) for i in self.merge(piece)]
+        if not text.isascii() and (UNKNOWN.search(text) or any(unicodedata.category(c) == "Cn" for c in text)):
+            pieces = self._unknown(text)
+        else:
+            pieces = self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return [i for piece in pieces for i in self.merge(piece)]
+
+    def _unknown(self, text: str) -> list[str]:
+        """Pieces of a text with characters that the tables here may not know: the library's do."""
+        text = self.library.normalizer.normalize_str(text)
+        # Its byte letters back to text: a piece is a run of whole characters.
+        return [bytes(self.byte[c] for c in piece).decode("utf-8") for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _parts(self, text: str) -> Iterator[str]:
         """Runs of ids as decimals, one for each chunk that has any."""

@@ -1,3 +1,4 @@
+import random
 from hashlib import sha256
 
 import public_tokenizers
@@ -25,6 +26,22 @@ def test_encodes_as_the_library(text):
     assert word_bpe(PATH).decode(ids) == text_back
 
 
+def test_every_character_below_20000():
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"ab{chr(c)}cd 1{chr(c)} {chr(c)}x" for c in points]
+    bpe = word_bpe(PATH)
+    found = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    assert [hex(c) for c, t, e in zip(points, texts, found, strict=True) if bpe.encode(t) != e.ids] == []
+
+
+def test_random_mixed_text():
+    rng = random.Random(9)
+    blocks = [(0x20, 0x250), (0x370, 0x600), (0x590, 0x700), (0x900, 0xE00), (0x1AB0, 0x1B00), (0x1D00, 0x2C00), (0xA640, 0xABF0), (0x10000, 0x1FBFF)]
+    texts = ["".join(chr(rng.randint(*rng.choice(blocks))) for _ in range(rng.randint(1, 24))) for _ in range(4000)]
+    bpe = word_bpe(PATH)
+    assert [t for t, e in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True) if bpe.encode(t) != e.ids] == []
+
+
 def test_special_tokens():
     text = "a<|endoftext|> It's <|startoftext|>"
     assert word_bpe(PATH).encode(text) == want(text)[0]
