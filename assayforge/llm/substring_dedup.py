@@ -165,7 +165,7 @@ def kept_text(words: tv.Words, removed: np.ndarray) -> list[bytes]:
     return [raw[a : max(a, b - 1)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _emit_kept(window: int, phrase: int, as_is: bool):
+def _emit_kept(window: int, phrase: int, as_is: bool, more: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, at = _lists(batch.column("places"))
@@ -198,29 +198,32 @@ def _emit_kept(window: int, phrase: int, as_is: bool):
                         pa.array(count.astype(np.int64)),
                         pa.array(gone.astype(np.int64)),
                         kept,
+                        *(batch.column(f"more_{i}").slice(lo, hi - lo) for i in range(more)),
                     ],
-                    ["doc_id", "n_words", "n_removed", "kept_text"],
+                    ["doc_id", "n_words", "n_removed", "kept_text", *(f"more_{i}" for i in range(more))],
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, as_is: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, as_is: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text.
 
     kept_text has the kept words joined by one space; with ``as_is`` a text that
-    loses nothing stays as it was.
+    loses nothing stays as it was. more: columns that are passed on.
     """
     if not 1 <= phrase <= window:
         raise ValueError("phrase must have 1 to window words")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"more_{i}") for i, c in enumerate(more)))
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name.startswith("more_"))
+    passed = [f"more_{i}" for i in range(len(more))]
     prints = docs.select("doc_id", F.md5("text").alias("print")).where("print is not null")
     first = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
     # The whole text is dealt out by doc_id once, and the four passes below reuse that
     # exchange; they filter in the pass itself, as a filter that moves below the join
     # would make each exchange one of its own.
     base = docs.join(first.select("doc_id", F.lit(True).alias("first")).distinct(), "doc_id", "left")
-    base = base.select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("first"))
+    base = base.select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("first"), *passed)
 
     counted = base.mapInArrow(_emit_phrases(window, phrase, False), "phrase long, n long")
     confirmed = counted.groupBy("phrase").agg(F.sum("n").alias("n")).where("n >= 2")
@@ -233,8 +236,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     known = base.join(places, "doc_id", "left")
     windows = known.mapInArrow(_emit_windows(window, phrase), "win long, doc_id long")
     owned = windows.groupBy("win").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("win").alias("owned"))
-    ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "places", "owned", (~F.col("first") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
-    return ready.mapInArrow(_emit_kept(window, phrase, as_is), "doc_id long, n_words long, n_removed long, kept_text string")
+    ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "places", "owned", *passed, (~F.col("first") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
+    out = ready.mapInArrow(_emit_kept(window, phrase, as_is, len(more)), "doc_id long, n_words long, n_removed long, kept_text string" + kinds)
+    return out.withColumnsRenamed(dict(zip(passed, more, strict=True)))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,24 +21,30 @@ QUALITY = quality.GOOD
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted language has at least half of their letters; ``lang``
-    is the prediction. Texts that are null or have no letter go."""
+    is the prediction. Texts that are null or have no letter go; each row is judged by its own text."""
     found = language_id.annotate(docs.select(*DOCUMENT_COLUMNS), language_id.train(docs))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
+    """Documents that the classifier predicts to be good, each row judged by its own text;
+    null and empty texts are scored like any other."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.annotate(docs.select(*DOCUMENT_COLUMNS), model).where(F.col("score") >= QUALITY).select(*DOCUMENT_COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class, once; rows without an id stay."""
+    """The document with the smallest id of each class.
+
+    Equal rows of one id stay once; of different texts with one id each stays, as
+    they are one document to the operator. Rows without an id stay, null texts are
+    classes of their own.
+    """
     docs = docs.select(*DOCUMENT_COLUMNS)
     classes = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
     # The window needs the rows as the join deals them out, and no further exchange.
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars"))
     kept = docs.join(classes.hint("merge"), "doc_id", "left_semi").withColumn("once", once).where("once = 1")
     return kept.select(*DOCUMENT_COLUMNS).unionByName(docs.where("doc_id is null"))
 
@@ -46,13 +52,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words that stand earlier; those left without words go.
 
-    A document that loses nothing keeps its text as it is; rows without an id stay.
+    A document that loses nothing keeps its text as it is; each row gives one row at
+    most, rows of one id too; null and empty texts go; rows without an id stay.
     """
     known = docs.where("doc_id is not null")
-    kept = substring_dedup.remove_repeats(known, as_is=True).where("n_words > n_removed")
-    rest = known.select("doc_id", "lang", "source", F.col("n_chars").alias("chars"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("chars"))
-    out = kept.join(rest, "doc_id").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    kept = substring_dedup.remove_repeats(known, as_is=True, more=("lang", "source", "n_chars")).where("n_words > n_removed")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    out = kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
     return out.unionByName(docs.where("doc_id is null").select(*DOCUMENT_COLUMNS))
 
 

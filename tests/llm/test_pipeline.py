@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline as cp
@@ -30,6 +32,24 @@ def test_repeats_go_and_the_rest_stays(spark):
     assert got == want and tuple(out.columns) == DOCUMENT_COLUMNS
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a)]
+    near = cp.drop_near_duplicates(spark, cases.table(spark, rows), SMALL)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near.collect()) == [(0, a), (1, a), (1, b)]
+    out = cp.drop_repeats(spark, cases.table(spark, [(1, a), (1, b), (3, b), (None, a)]), SMALL)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, a), (1, a), (1, b)]
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES[:2])
+def test_nulls_and_clashing_columns(spark, name, stage):
+    rows = [*cases.documents(), (None, "without an id"), (4000, None), (4000, None)]
+    out = stage(spark, cases.table(spark, rows), SMALL)
+    assert tuple(out.columns) == DOCUMENT_COLUMNS
+    left = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert all(n <= Counter(rows)[x] for x, n in left.items())
+
+
 @pytest.mark.parametrize("name,stage", cp.STAGES[:4])
 def test_stages_of_an_empty_table(spark, name, stage):
     out = stage(spark, cases.empty(spark), SMALL)
