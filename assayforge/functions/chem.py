@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assayforge.functions import diagnose as dx
 from assayforge.functions import smarts, smiles, standardize
 from assayforge.functions.text import has_inner_space, is_empty_structure
+from assayforge.sources.policy import Policy
 
 
 def over(kind: str):
@@ -23,39 +24,44 @@ def over(kind: str):
 KERNEL = (
     "canonical string, exact string, parent string, tautomer string, nostereo string, skeleton string, formula string, n_fragments int, had_charge boolean, has_stereo boolean, "
     "n_organic int, charge int, has_isotope boolean, n_stereo int, n_assigned int, elements array<string>, scaffold string, exact_mass double, mw double, logp double, hbd int, hba int, "
-    "tpsa double, rotatable_bonds int, heavy_atoms int, rings int, fraction_csp3 double"
+    "tpsa double, rotatable_bonds int, heavy_atoms int, rings int, fraction_csp3 double, standardized string, std_changed boolean, std_error string"
 )
 NAMES = [c.split()[0] for c in KERNEL.split(", ")]
 
 
-def describe(text: str | None, least_organic: int = 6) -> dict | None:
-    """All kernel columns of one structure; None if it cannot be read."""
+def describe(text: str | None, least_organic: int = 6, steps: tuple[str, ...] = ("fragment", "neutralize")) -> dict | None:
+    """All kernel columns of one structure; None if it cannot be read. Keys, components, isotopes
+    and elements are of the structure as given, the rest of what the steps make of it."""
     mol = smiles.parse(text)
     if mol is None:
         return None
     keys = smiles.identity(mol)
     parts = [mol.part(f) for f in mol.fragments()]
-    parent = smiles.neutralized(smiles.largest_fragment(mol))
-    n, assigned = smiles.centres(mol)
+    parent, error = standardize.steps_of(mol, steps)
+    n, assigned = smiles.centres(parent)
+    given, made = smiles.write(mol), smiles.write(parent)
     mass = smiles.mass(mol, smiles.EXACT)
     return {
-        **keys, "canonical": smiles.write(mol), "charge": sum(a.charge for a in parent.atoms), "has_isotope": any(a.isotope for a in mol.atoms),
+        **keys, "canonical": given, "standardized": made, "std_changed": made != given, "std_error": error, "charge": sum(a.charge for a in parent.atoms), "has_isotope": any(a.isotope for a in mol.atoms),
         "n_organic": sum(any(a.symbol == "C" for a in p.atoms) and len(p.atoms) >= least_organic for p in parts),
         "n_stereo": n, "n_assigned": assigned, "elements": sorted({a.symbol for a in mol.atoms}), "scaffold": smiles.scaffold(parent),
         "exact_mass": None if mass is None else round(mass, 4), **smiles.descriptors(parent),
     }
 
 
-@over(KERNEL)
-def kernel(structure: pd.Series) -> pd.DataFrame:
-    rows = [describe(s) or dict.fromkeys(NAMES) for s in structure]
-    return pd.DataFrame(rows, columns=NAMES).astype(object).where(lambda d: d.notna(), None)
+def kernel(least_organic: int = 6, steps: tuple[str, ...] = ("fragment", "neutralize")):
+    def made(structure: pd.Series) -> pd.DataFrame:
+        rows = [describe(s, least_organic, steps) or dict.fromkeys(NAMES) for s in structure]
+        return pd.DataFrame(rows, columns=NAMES).astype(object).where(lambda d: d.notna(), None)
 
+    return over(KERNEL)(made)
 
-def annotated(records: DataFrame, structure: str = "structure") -> DataFrame:
-    """Records with status and the kernel's columns, each structure parsed once."""
-    s = F.col(structure)
-    wide = records.withColumn("_k", kernel(F.when(~is_empty_structure(s) & ~has_inner_space(s), s)))
+
+def annotated(records: DataFrame, structure: str = "structure", policy: Policy | None = None) -> DataFrame:
+    """Records with status and the kernel's columns, each structure parsed once and
+    standardised as the policy says."""
+    s, policy = F.col(structure), policy or Policy()
+    wide = records.withColumn("_k", kernel(policy.organic_component_min_heavy_atoms, policy.steps)(F.when(~is_empty_structure(s) & ~has_inner_space(s), s)))
     status = F.when(is_empty_structure(s), "empty").when(F.col("_k.canonical").isNull(), "invalid").otherwise("ok")
     kept = [c for c in records.columns if c not in (*NAMES, "status")]
     return wide.select(*kept, status.alias("status"), F.coalesce(has_inner_space(s), F.lit(False)).alias("inner_space"), *(F.col(f"_k.{n}").alias(n) for n in NAMES))
@@ -241,7 +247,7 @@ def explain(items: DataFrame, pattern: str, preparations: tuple[str, ...] = ("im
 
 def panel_elements(items: DataFrame, structure: str = "structure", top: int = 12) -> DataFrame:
     """(element, n): the elements that most structures of a panel have."""
-    wide = items.select(F.explode(kernel(F.col(structure))["elements"]).alias("element"))
+    wide = items.select(F.explode(kernel()(F.col(structure))["elements"]).alias("element"))
     return wide.groupBy("element").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "element").limit(top)
 
 

@@ -16,19 +16,28 @@ RULES: dict[str, list[tuple[str, float | None, float | None]]] = {
 
 
 def violations(rule: list[tuple[str, float | None, float | None]], columns: dict[str, Column]) -> Column:
-    """Texts of what a row violates; a missing descriptor is a violation."""
+    """Texts of what a row violates; a descriptor that is missing violates nothing."""
     found = []
     for name, least, most in rule:
         c = columns[name]
-        text = F.when(c.isNull(), f"{name} missing")
         if least is not None:
-            text = text.when(c < least, F.lit(f"{name} < {least:g}"))
+            found.append(F.when(c < least, F.lit(f"{name} < {least:g}")))
         if most is not None:
-            text = text.when(c > most, F.lit(f"{name} > {most:g}"))
-        found.append(text)
+            found.append(F.when(c > most, F.lit(f"{name} > {most:g}")))
     return F.array_compact(F.array(*found))
 
 
+def unjudged(rule: list[tuple[str, float | None, float | None]], columns: dict[str, Column]) -> Column:
+    """Names of the descriptors that a row lacks."""
+    return F.array_compact(F.array(*(F.when(columns[name].isNull(), F.lit(name)) for name, _, _ in rule)))
+
+
+def verdict(rule: list[tuple[str, float | None, float | None]], columns: dict[str, Column]) -> Column:
+    """False where something is violated, else true, or null where a descriptor is missing:
+    then the rule cannot be judged."""
+    return F.when(F.size(violations(rule, columns)) > 0, False).when(F.size(unjudged(rule, columns)) == 0, True)
+
+
 def passes(constraints: dict[str, tuple[float | None, float | None]], columns: dict[str, Column]) -> Column:
     """Whether all constraints hold, ends included; a missing value fails."""
     ok = F.lit(True)

@@ -75,6 +75,18 @@ def canonical_tautomer(mol: Mol) -> Mol:
 FUNCTIONS = {"fragment": largest_fragment, "neutralize": neutralized, "isotopes": _without_isotopes, "stereo": _without_stereo, "tautomer": canonical_tautomer}
 
 
+def steps_of(mol: Mol, steps: tuple[str, ...]) -> tuple[Mol, str | None]:
+    """The molecule after the steps, in fixed order, and the errors; a step that fails changes nothing."""
+    errors = []
+    for step in STEPS:
+        if step in steps:
+            try:
+                mol = FUNCTIONS[step](mol)
+            except (Problem, ValueError) as e:
+                errors.append(f"{step}: {e}")
+    return mol, "; ".join(errors) or None
+
+
 def standardize(text: str, steps: tuple[str, ...] = ("fragment", "neutralize")) -> dict:
     """Result and provenance: (step, before, after, changed), in fixed order; stops at an error."""
     try:

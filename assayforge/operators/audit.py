@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayforge.operators import identity
+from assayforge.functions import measure
+from assayforge.operators import conflicts, identity, leakage
 
 #: Issue codes and their severities.
 ISSUES = {
@@ -55,6 +56,8 @@ def record_conditions(usual_elements: tuple[str, ...] = ("H", "B", "C", "N", "O"
         "PARSE_WHITESPACE": (c("status") == "invalid") & c("inner_space"),
         "PARSE_INVALID": (c("status") == "invalid") & ~c("inner_space"),
         "REPAIR_CANDIDATE": (c("status") == "invalid") & c("repair").isNotNull(),
+        "STD_FAILED": c("std_error").isNotNull(),
+        "STD_CHANGED_IDENTITY": c("std_changed"),
         "FRAG_MULTIPLE": c("n_fragments") > 1,
         "FRAG_MULTIPLE_ORGANIC": c("n_organic") > 1,
         "CHARGE_NET": c("charge") != 0,
@@ -67,6 +70,64 @@ def record_conditions(usual_elements: tuple[str, ...] = ("H", "B", "C", "N", "O"
     }
 
 
+def split_issues(records: DataFrame, level: str = "parent", threshold: float = 0.7, similarity: Column | None = None) -> DataFrame:
+    """(record_id, code) of what a split column shows among readable records.
+
+    The largest split is the reference. A record of another one overlaps if the
+    reference has its key at the level, else is related if its nearest neighbour by
+    ``similarity`` (of the columns fp and ref_fp) reaches the threshold, else if the
+    reference has its scaffold; it is out of order if dated no later than the latest
+    reference date. scaffold, date and fp are looked at where there are such columns.
+    """
+    missing = records.where("split is null").select("record_id", F.lit("SPLIT_MISSING").alias("code"))
+    first = leakage.reference_split(records, "split")
+    if first is None:
+        return missing
+    reference, others = records.where(F.col("split") == first), records.where(F.col("split") != first)
+    over = leakage.overlap_rows(reference, others, level).select("record_id").distinct()
+    parts = [over.withColumn("code", F.lit("SPLIT_OVERLAP"))]
+    close = []
+    if similarity is not None:
+        known = reference.where("fp is not null").select(F.col("record_id").alias("ref_id"), F.col("position").alias("ref_position"), F.col("fp").alias("ref_fp"))
+        near = leakage.nearest(known, others.where("fp is not null"), similarity)
+        close.append(leakage.related(near, over, threshold).select("record_id"))
+    if "scaffold" in records.columns:
+        known = reference.where("scaffold != 'acyclic'").select("scaffold").distinct()
+        close.append(others.join(known, "scaffold", "left_semi").join(over, "record_id", "left_anti").select("record_id"))
+    if close:
+        rows = close[0] if len(close) == 1 else close[0].unionByName(close[1])
+        parts.append(rows.distinct().withColumn("code", F.lit("SPLIT_RELATED")))
+    if "date" in records.columns:
+        parts.append(leakage.temporal_violations(reference, others).select("record_id", F.lit("TEMPORAL_ORDER").alias("code")))
+    for p in parts:
+        missing = missing.unionByName(p)
+    return missing
+
+
+def label_issues(records: DataFrame, keys: list[str], endpoint: str, units: str | None = None, parsed: str | None = None, tolerance: float = 1.0) -> DataFrame:
+    """(record_id, code) of labels of records that share the keys.
+
+    With ``parsed``, the measurement column, spreads beyond the tolerance conflict,
+    censored values of groups of two or more are named, and so are values without
+    units; else different labels conflict.
+    """
+    text = F.trim(F.col(endpoint).cast("string"))
+    rows = records.where(F.coalesce(text, F.lit("")) != "")
+    keyed = rows
+    for k in keys:
+        keyed = keyed.where(F.col(k).isNotNull())
+    keyed, keys = keyed.withColumn("_key", F.struct(*keys)), ["_key"]  # a level's name can be that of a column within
+    found = conflicts.by_value(keyed, keys, parsed, tolerance) if parsed else conflicts.by_class(keyed, keys, endpoint)
+    issues = keyed.join(found.where("conflict").select(*keys), keys, "left_semi").select("record_id", F.lit("LABEL_CONFLICT").alias("code"))
+    if parsed:
+        several = found.select(*keys)
+        issues = issues.unionByName(keyed.where(F.col(parsed)["censored"]).join(several, keys, "left_semi").select("record_id", F.lit("RELATION_CENSORED").alias("code")))
+    if parsed and units:
+        bare = rows.where(measure.is_measurement(text) & (F.coalesce(F.trim(units), F.lit("")) == ""))
+        issues = issues.unionByName(bare.select("record_id", F.lit("UNITS_MISSING").alias("code")))
+    return issues
+
+
 def rollup(issues: DataFrame) -> DataFrame:
     """(code, severity, n, n_records)."""
     return issues.groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("n_records"))
@@ -153,12 +214,19 @@ def clean_and_excluded(records: DataFrame, issues: DataFrame, codes: tuple[str,
     return records.join(why, "record_id", "left").withColumn("reasons", F.concat(status, F.coalesce("_codes", F.array()))).drop("_codes")
 
 
-def audit(records: DataFrame, overrides: dict[str, str] | None = None, level: str = "parent") -> dict[str, DataFrame]:
+#: Columns without which a condition is not looked at.
+NEEDED = {"PARSE_WHITESPACE": ("inner_space",), "PARSE_INVALID": ("inner_space",), "PARSE_EMPTY": ("inner_space",), "REPAIR_CANDIDATE": ("repair",), "STD_FAILED": ("std_error",), "STD_CHANGED_IDENTITY": ("std_changed",)}
+
+
+def audit(records: DataFrame, overrides: dict[str, str] | None = None, level: str = "parent", more: DataFrame | None = None) -> dict[str, DataFrame]:
     """The lazy parts of an audit over records with status, position, the ladder and, where
-    they have them, the kernel's columns: issues, groups, rollups."""
+    they have them, the kernel's columns: issues, groups, rollups. more: (record_id, code)
+    of what else was found, on splits, labels and alerts."""
     valid = records.where("status = 'ok'")
     issues = identity.duplicate_issues(valid).select("record_id", "code")
-    conditions = {k: v for k, v in record_conditions().items() if k.startswith("PARSE_") and {"status", "inner_space"} <= set(records.columns) or {"mw", "elements", "n_stereo"} <= set(records.columns) and k != "REPAIR_CANDIDATE"}
+    if more is not None:
+        issues = issues.unionByName(more)
+    conditions = {k: v for k, v in record_conditions().items() if set(NEEDED.get(k, ("mw", "elements", "n_stereo"))) <= set(records.columns)}
     if conditions:
         issues = issues.unionByName(annotate(records, conditions))
     issues = with_severity(issues, overrides)

@@ -191,11 +191,11 @@ def similarity_top(spark, sf_dir):
 
 @query(
     "WITH d AS (SELECT o_orderkey AS record_id, o_orderpriority AS split, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders), "
-    "m AS (SELECT max(date) AS latest FROM d WHERE split = '1-URGENT' AND record_id % 50 = 0) SELECT split, count(*) AS n FROM d, m WHERE split <> '1-URGENT' AND date <= latest GROUP BY split"
+    "m AS (SELECT max(date) AS latest FROM d WHERE split = '1-URGENT') SELECT split, count(*) AS n FROM d, m WHERE split <> '1-URGENT' AND date <= latest GROUP BY split"
 )
 def temporal_order(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderpriority").alias("split"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
-    late = leakage.temporal_violations(d.where("split = '1-URGENT' and record_id % 50 = 0"), d.where("split != '1-URGENT'"))
+    late = leakage.temporal_violations(d.where("split = '1-URGENT'"), d.where("split != '1-URGENT'"))
     return late.groupBy("split").agg(F.count("*").alias("n"))
 
 
@@ -292,9 +292,9 @@ def cliff_pairs(spark, sf_dir):
     return _judged(spark, sf_dir).select("a", "b", "least", "most", "signed", "verdict")
 
 
-@query(_PAIRED + " SELECT count(*) AS n_pairs, count(*) FILTER (verdict = 'cliff') AS n_cliff, count(*) FILTER (verdict = 'consistent') AS n_consistent, count(*) FILTER (verdict = 'undetermined') AS n_undetermined FROM k")
+@query(_PAIRED + " SELECT count(*) AS n_pairs, count(*) FILTER (verdict = 'cliff') AS n_cliff, count(*) FILTER (verdict = 'consistent') AS n_consistent, count(*) FILTER (verdict = 'undetermined') AS n_undetermined, CASE WHEN n_cliff + n_consistent > 0 THEN n_cliff / (n_cliff + n_consistent) END AS cliff_fraction FROM k")
 def cliff_summary(spark, sf_dir):
-    return cliffs.summary(_judged(spark, sf_dir)).drop("cliff_fraction")
+    return cliffs.summary(_judged(spark, sf_dir))
 
 
 @query(
@@ -347,9 +347,9 @@ def library_diff(spark, sf_dir):
     return diff.diff_libraries(rows.where("record_id % 2 = 0"), rows.where("record_id % 2 = 1"))
 
 
-@query(_DIFF + " SELECT count(*) FILTER (status = 'added') AS n_added, count(*) FILTER (status = 'removed') AS n_removed, count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (multiplicity_changed) AS multiplicity_changes FROM d")
+@query(_DIFF + " SELECT count(*) FILTER (status = 'added') AS n_added, count(*) FILTER (status = 'removed') AS n_removed, count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (multiplicity_changed) AS multiplicity_changes, count(*) FILTER (status IN ('changed', 'unchanged')) / count(*) AS jaccard FROM d")
 def library_diff_summary(spark, sf_dir):
-    return diff.summary(library_diff(spark, sf_dir)).drop("jaccard")
+    return diff.summary(library_diff(spark, sf_dir))
 
 
 @query(_DIFF + " SELECT key, 'salt, counter-ion or charge form' AS phrase FROM d WHERE status = 'changed'")
@@ -382,16 +382,16 @@ def split_identity(spark, sf_dir):
     return splits.greedy_fill(ladder(spark, sf_dir).select(F.col("parent").alias("key")), "key", {"train": 0.8, "test": 0.2}, seed=7)
 
 
-@query("WITH g AS (SELECT CASE WHEN p_size < 5 THEN 'acyclic:' || p_partkey ELSE p_name END AS key, count(*) AS n FROM part GROUP BY 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS records, min(n) AS least, list_sort(list(n))[count(*) // 2 + 1] AS middle, max(n) AS most FROM g")
+@query("WITH g AS (SELECT CASE WHEN p_size < 5 THEN 'acyclic:' || p_partkey ELSE p_name END AS key, count(*) AS n FROM part GROUP BY 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS records, min(n) AS least, list_sort(list(n))[count(*) // 2 + 1] AS middle, max(n) AS most, max(n) / CAST(sum(n) AS BIGINT) AS largest_share FROM g")
 def group_sizes(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("scaffold", F.when(F.col("p_size") < 5, "acyclic").otherwise(F.col("p_name")))
     keys = rows.select(splits.group_key("scaffold", "p_partkey", scaffold="scaffold").alias("key"))
-    return splits.group_sizes(keys.groupBy("key").agg(F.count("*").alias("n"))).drop("largest_share")
+    return splits.group_sizes(keys.groupBy("key").agg(F.count("*").alias("n")))
 
 
-@query("SELECT p_brand AS split, p_type AS label, count(*) AS n FROM part GROUP BY 1, 2")
+@query("SELECT p_brand AS split, p_type AS label, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY p_brand) AS BIGINT) AS share FROM part GROUP BY 1, 2")
 def label_balance(spark, sf_dir):
-    return splits.label_balance(table(spark, sf_dir, "part").select(F.col("p_brand").alias("split"), "p_type"), "p_type").drop("share")
+    return splits.label_balance(table(spark, sf_dir, "part").select(F.col("p_brand").alias("split"), "p_type"), "p_type")
 
 
 @query("SELECT p_brand AS split, count(*) AS n, min(p_size)::DOUBLE AS least, max(p_size)::DOUBLE AS most, avg(p_size) AS mean FROM part GROUP BY 1")
@@ -590,9 +590,9 @@ def rule_filters(spark, sf_dir):
     return part.select("p_partkey", F.size(bad).alias("n_violations"), rules.passes({"size": (5, 30), "price": (None, 1500)}, columns).alias("passes"))
 
 
-@query("SELECT 'p_size' AS name, count(p_size) AS n, min(p_size)::DOUBLE AS least, quantile_cont(p_size::DOUBLE, 0.5) AS median, max(p_size)::DOUBLE AS most FROM part UNION ALL SELECT 'p_retailprice', count(p_retailprice), min(p_retailprice), quantile_cont(p_retailprice, 0.5), max(p_retailprice) FROM part")
+@query("SELECT 'p_size' AS name, count(p_size) AS n, min(p_size)::DOUBLE AS least, quantile_cont(p_size::DOUBLE, 0.5) AS median, max(p_size)::DOUBLE AS most, round(avg(p_size), 6) AS mean FROM part UNION ALL SELECT 'p_retailprice', count(p_retailprice), min(p_retailprice), quantile_cont(p_retailprice, 0.5), max(p_retailprice), round(avg(p_retailprice), 6) FROM part")
 def descriptor_summary(spark, sf_dir):
-    return audit.descriptor_summary(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"]).drop("mean")
+    return audit.descriptor_summary(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"]).withColumn("mean", F.round("mean", 6))
 
 
 _STATUS = "CASE WHEN record_id % 17 = 0 THEN 'empty' WHEN record_id % 23 = 0 THEN 'invalid' ELSE 'ok' END"
@@ -616,9 +616,60 @@ def records_by_severity(spark, sf_dir):
     return audit.max_severity(*_flagged(spark, sf_dir))
 
 
-@query(_FLAGGED + " SELECT (SELECT count(*) FROM r) AS n, (SELECT count(*) FROM r WHERE status <> 'ok') AS n_unusable, (SELECT count(*) FROM i WHERE severity = 'error') AS n_severe, CASE WHEN (SELECT count(*) FROM i WHERE severity = 'error') > 0 OR (SELECT count(*) FILTER (status <> 'ok') > 0.05 * count(*) FROM r) THEN 3 ELSE 0 END AS exit_code")
+_SPLIT = (
+    f"WITH {LADDER_SQL}, s AS (SELECT *, CASE WHEN record_id % 97 = 0 THEN NULL WHEN p_size > 35 THEN 'test' ELSE 'train' END AS split, CASE WHEN p_size > 35 THEN record_id * 37 % 1000 ELSE record_id * 37 % 600 END + 1000 AS day FROM l), "
+    "ref AS (SELECT * FROM s WHERE split = 'train'), ev AS (SELECT * FROM s WHERE split = 'test'), o AS (SELECT record_id FROM ev WHERE parent IN (SELECT parent FROM ref)), "
+    "x AS (SELECT record_id, 'SPLIT_MISSING' AS code FROM s WHERE split IS NULL UNION ALL SELECT record_id, 'SPLIT_OVERLAP' FROM o "
+    "UNION ALL SELECT record_id, 'SPLIT_RELATED' FROM ev WHERE p_brand <> 'acyclic' AND p_brand IN (SELECT p_brand FROM ref) AND record_id NOT IN (SELECT record_id FROM o) "
+    "UNION ALL SELECT record_id, 'TEMPORAL_ORDER' FROM ev WHERE day <= (SELECT max(day) FROM ref))"
+)
+
+
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, test = F.col, F.col("p_size") > 35
+    day = F.when(test, c("record_id") * 37 % 1000).otherwise(c("record_id") * 37 % 600) + 1000
+    return ladder(spark, sf_dir).withColumns({"split": F.when(c("record_id") % 97 != 0, F.when(test, "test").otherwise("train")), "date": day.cast("string"), "scaffold": c("p_brand")})
+
+
+@query(_SPLIT + " SELECT * FROM x")
+def split_issues(spark, sf_dir):
+    return audit.split_issues(_split_rows(spark, sf_dir))
+
+
+_LABELLED = "d AS (SELECT doc_id AS record_id, md5(text) AS key, source FROM documents WHERE text IS NOT NULL AND trim(coalesce(source, '')) <> ''), c AS (SELECT record_id, 'LABEL_CONFLICT' AS code FROM d WHERE key IN (SELECT key FROM d GROUP BY key HAVING count(DISTINCT trim(source)) > 1))"
+
+
+def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.label_issues(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.md5("text").alias("key"), "source"), ["key"], "source")
+
+
+@query(f"WITH {_LABELLED} SELECT * FROM c")
+def label_issues(spark, sf_dir):
+    return _label_rows(spark, sf_dir)
+
+
+_GATES = {"severity": {"fail_on": "error"}, "invalid": {"most_invalid": 0.05}, "duplicates": {"most_duplicates": 0.05}, "overlap": {"no_overlap": True}, "conflicts": {"no_conflicts": True}, "complete": {"complete": True}, "lenient": {"most_invalid": 0.9, "most_duplicates": 0.9}}
+
+
+@query(
+    _SPLIT + f", {_LABELLED}, " + _FLAGGED.removeprefix(f"WITH {LADDER_SQL}, ")
+    + ", n AS (SELECT count(*) AS n, count(*) FILTER (status <> 'ok') AS n_unusable, (SELECT count(*) FROM i WHERE severity = 'error') + (SELECT count(*) FROM o) + count(*) FILTER (record_id % 501 = 0) AS n_severe, "
+    "(SELECT count(*) FROM o) AS n_overlap, (SELECT count(*) FROM c) AS n_conflicts, count(*) FILTER (record_id % 501 = 0) AS n_failed, count(*) - count(DISTINCT parent) AS n_collapsed FROM r), "
+    "g AS (SELECT unnest(['severity', 'invalid', 'duplicates', 'overlap', 'conflicts', 'complete', 'lenient']) AS gate) "
+    "SELECT gate, n, n_unusable, CASE WHEN gate = 'severity' THEN n_severe ELSE 0 END AS n_severe, n_overlap, n_conflicts, n_failed, CASE gate WHEN 'severity' THEN CASE WHEN n_severe > 0 THEN 3 ELSE 0 END WHEN 'invalid' THEN CASE WHEN n_unusable > 0.05 * n THEN 3 ELSE 0 END "
+    "WHEN 'duplicates' THEN CASE WHEN n_collapsed > 0.05 * n THEN 3 ELSE 0 END WHEN 'overlap' THEN CASE WHEN n_overlap > 0 THEN 3 ELSE 0 END WHEN 'conflicts' THEN CASE WHEN n_conflicts > 0 THEN 3 ELSE 0 END "
+    "WHEN 'complete' THEN CASE WHEN n_failed > 0 THEN 4 ELSE 0 END ELSE CASE WHEN n_unusable > 0.9 * n OR n_collapsed > 0.9 * n THEN 3 ELSE 0 END END AS exit_code FROM g, n"
+)
 def gates(spark, sf_dir):
-    return audit.evaluate(audit.Gates(fail_on="error", most_invalid=0.05), *_flagged(spark, sf_dir)).select("n", "n_unusable", "n_severe", "exit_code")
+    rows, issues = _flagged(spark, sf_dir)
+    failed = rows.where("record_id % 501 = 0").select("record_id", F.lit("STD_FAILED").alias("code"))
+    more = audit.split_issues(_split_rows(spark, sf_dir)).unionByName(_label_rows(spark, sf_dir)).unionByName(failed)
+    issues = checkpointed(issues.select("record_id", "code", "severity").unionByName(audit.with_severity(more).select("record_id", "code", "severity")))
+    out = None
+    for name, gate in _GATES.items():
+        one = audit.evaluate(audit.Gates(**gate), rows, issues).select(F.lit(name).alias("gate"), "n", "n_unusable", "n_severe", "n_overlap", "n_conflicts", "n_failed", "exit_code")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(_FLAGGED + " SELECT r.record_id, concat_ws(';', CASE WHEN status <> 'ok' THEN 'status:' || status END, (SELECT string_agg(code, ';' ORDER BY code) FROM i WHERE i.record_id = r.record_id AND (severity = 'error' OR code = 'DESC_TINY'))) AS reasons FROM r")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from assayforge.functions import chem, measure, rules
 from assayforge.functions.numbering import checkpointed
+from assayforge.functions.similarity import tanimoto
 from assayforge.operators import audit, cliffs, conflicts, diff, generation, identity, leakage, merge, patterns, proof, search, splits
 from assayforge.sources import policy, providers, records
 
@@ -36,10 +37,12 @@ def _cell(column: str | None, names: tuple[str, ...]):
     return F.element_at("fields", F.get(F.filter(F.map_keys("fields"), lambda k: F.lower(F.trim(k)).isin(*names)), F.lit(0)))
 
 
-def load(spark: SparkSession, path: str, **kw) -> DataFrame:
+def load(spark: SparkSession, path: str, chosen: policy.Policy | None = None, **kw) -> DataFrame:
     """Records of a file with the kernel's columns, and roles as columns of their own."""
     rows = records.read_records(spark, path, **kw)
-    wide = chem.annotated(rows.drop("status"))
+    wide = chem.annotated(rows.drop("status"), policy=chosen)
+    if chosen and chosen.repair_mode != "none":
+        wide = wide.withColumn("repair", chem.diagnosis(F.when(F.col("status") == "invalid", F.col("structure")))["repair"])
     roles = dict(kw.get("roles") or {})
     for role in ("endpoint", "units", "relation", "split", "date", "source"):
         wide = wide.withColumn(role, F.nullif(F.trim(_cell(roles.get(role), records.ROLES[role])), F.lit("")))
@@ -54,10 +57,29 @@ def measured(rows: DataFrame) -> DataFrame:
 
 
 @command
-def audit_(spark, path, config=None, level="parent", **kw) -> Tables:
+def audit_(spark, path, config=None, level=None, gates="{}", **kw) -> Tables:
+    """All record issues, those of splits and labels where there are such columns, and the
+    gates. The policy says how structures are standardised, the level, and severities."""
     p = policy.resolve(config)
-    rows = load(spark, path, **kw)
-    parts = audit.audit(rows, p.severity, level)
+    level = level or p.identity_level
+    rows = load(spark, path, p, **kw)
+    valid = rows.where("status = 'ok'")
+    seen = rows.agg(F.count("split").alias("split"), F.count("endpoint").alias("endpoint")).collect()[0]
+    more = valid.select("record_id", F.lit(None).cast("string").alias("code")).where(F.lit(False))
+    if seen["split"]:
+        if p.fingerprint in chem.smiles.FINGERPRINTS:
+            marked, near = checkpointed(valid.withColumn("fp", chem.fingerprints(F.col("standardized"), p.fingerprint, p.fingerprint_bits))), tanimoto(F.col("fp"), F.col("ref_fp"))
+        else:
+            marked, near = valid, None
+        more = more.unionByName(audit.split_issues(marked, level, p.similarity_threshold, near))
+    if seen["endpoint"]:
+        if conflicts.is_quantitative(valid, "endpoint").collect()[0]["quantitative"]:
+            more = more.unionByName(audit.label_issues(measured(valid.where("endpoint is not null")), [level], "endpoint", "units", "m"))
+        else:
+            more = more.unionByName(audit.label_issues(valid, [level], "endpoint"))
+    parts = audit.audit(rows, p.severity, level, more)
+    chosen = audit.Gates(**(json.loads(gates) if isinstance(gates, str) else gates))
+    parts["gates"] = audit.evaluate(chosen, rows, parts["issues"], level)
     judged = audit.clean_and_excluded(rows.select("record_id", "source_id", "structure", "status"), parts["issues"])
     return {**parts, "records": rows, "clean": judged.where(F.size("reasons") == 0), "exclusions": judged.where(F.size("reasons") > 0)}
 
@@ -144,7 +166,6 @@ def fingerprint(spark, path, kind="ecfp4", bits=2048, **kw) -> Tables:
 
 @command
 def similar(spark, path, query, threshold=0.0, top=None, kind="ecfp4", **kw) -> Tables:
-    from assayforge.functions.similarity import tanimoto
     from assayforge.functions.smiles import FINGERPRINTS, checked, words
 
     mine = F.lit(words(FINGERPRINTS[kind](checked(query), 2048)))
@@ -155,9 +176,11 @@ def similar(spark, path, query, threshold=0.0, top=None, kind="ecfp4", **kw) ->
 @command
 def filter_(spark, path, rule="lipinski", fail=False, **kw) -> Tables:
     rows = load(spark, path, **kw).withColumn("rotatable", F.col("rotatable_bonds")).withColumn("atoms", F.col("heavy_atoms")).withColumn("mr", F.lit(None).cast("double"))
-    broken = rules.violations(rules.RULES[rule], {n: F.col(n) for n, _, _ in rules.RULES[rule]})
-    judged = rows.where("status = 'ok'").withColumn("violations", broken)
-    return {"filtered": search.batch_filter(judged, F.size("violations") == 0, bool(fail)).select("record_id", "structure", "violations")}
+    columns = {n: F.col(n) for n, _, _ in rules.RULES[rule]}
+    judged = rows.where("status = 'ok'").withColumns({"violations": rules.violations(rules.RULES[rule], columns), "unjudged": rules.unjudged(rules.RULES[rule], columns), "verdict": rules.verdict(rules.RULES[rule], columns)})
+    shown = ["record_id", "structure", "violations", "unjudged"]
+    # What cannot be judged neither passes nor fails.
+    return {"filtered": judged.where(~F.col("verdict") if fail else F.col("verdict")).select(*shown), "unjudged": judged.where("verdict is null").select(*shown)}
 
 
 @command

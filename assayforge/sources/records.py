@@ -152,8 +152,10 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
     A block without a readable counts line or with fewer lines than it counts is
     invalid and kept.
     """
-    rows = _in_order(spark.read.text(path, lineSep="$$$$\n").where(text.strip(F.col("value")) != ""))
+    rows = _in_order(spark.read.text(path, lineSep="$$$$").where(text.strip(F.col("value")) != ""))
     raw = F.regexp_replace("value", "\r\n", "\n")
+    # The end of the separator's own line; a first block can have an empty title instead.
+    raw = F.when(F.get(F.split(raw, "\n"), F.lit(3)).rlike(r"^[ \d]{3}[ \d]{3}.*V[23]000"), raw).otherwise(F.regexp_replace(raw, r"^[ \t]*\n", ""))
     title = F.nullif(text.strip(F.regexp_extract(raw, r"^([^\n]*)", 1)), F.lit(""))
     items = F.regexp_extract_all(raw, F.lit(r"(?m)^>[^\n<]*<([^>]+)>[^\n]*\n(?:[^\n>][^\n]*\n?)*"), 0)
     pair = F.transform(items, lambda x: F.struct(text.strip(F.regexp_extract(x, r"<([^>]+)>", 1)).alias("key"), text.strip(F.regexp_extract(x, r"^[^\n]*\n((?s:.*))", 1)).alias("value")))
