@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assayforge.functions.numbering import numbered
 
 LEVELS = ("exact", "parent", "tautomer", "nostereo", "skeleton", "formula")
-#: Words for what differs at the strictest level that two records share.
+#: Words for what differs at the strictest level that two records share.
 DIFFERENCE = {
     "parent": "salt, counter-ion or charge form",
     "tautomer": "tautomer",

@@ -28,8 +28,8 @@ HYDROGENS = (0, 1, 2, 3, 4)
 DEGREES = (0, 1, 2, 3, 4)
 RINGS = (0, 1, 2)
 BONDS = tuple(product((1, 2, 3, 1.5), (False, True)))
-BUDGET = 20_000
-MOST_ATOMS = 12
+BUDGET = 200_000
+MOST_ATOMS = 40
 
 
 class _State:
