@@ -167,7 +167,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     few = known.select("h").orderBy("h").limit(sample).collect()
     if not few:
         return fit([])
-    rows = known.where(F.col("h") <= few[-1]["h"]).select("doc_id", "text", "lang").collect()
+    rows = known.where(F.col("h") <= few[-1]["h"]).orderBy("h", "lang", F.md5("text")).limit(sample).select("doc_id", "text", "lang").collect()
     return fit([(r["text"] or "", r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"]))])
 
 

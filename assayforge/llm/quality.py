@@ -119,9 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     few = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).collect()
     if not few:
         return np.zeros(BUCKETS, np.float32), 0.0
-    # At most ``sample`` labels (more only where ids repeat) are sent to the texts.
-    chosen = known.where(F.xxhash64("doc_id") <= few[-1]["h"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # At most ``sample`` labels are sent to the texts, and as many texts come back, also where ids repeat.
+    first = F.xxhash64("doc_id").alias("h")
+    chosen = known.where(F.xxhash64("doc_id") <= few[-1]["h"]).select("*", first).orderBy("h", "quality").limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.orderBy("h", "quality", F.md5("text")).limit(sample).collect()
     return fit([(r["text"] or "", r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
