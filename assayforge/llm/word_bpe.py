@@ -103,7 +103,7 @@ class WordBpe:
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a text without white space."""
-        if not text.isascii() and (UNKNOWN.search(text) or any(unicodedata.category(c) == "Cn" for c in text)):
+        if max(text) >= "\u0300" and (UNKNOWN.search(text) or any(unicodedata.category(c) == "Cn" for c in text)):
             pieces = self._unknown(text)
         else:
             pieces = self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
