@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 from assayforge.llm.packing import _byte_letters
 
-#: Chunks that a worker remembers, in two generations.
+#: Chunks and pieces that a worker remembers, of each kind in two generations.
 MEMO = 200_000
 WORD_END = "</w>"
 #: What \s stands for in the file's patterns; str.split() also splits at \x1c-\x1f.
@@ -74,14 +74,17 @@ class WordBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
-        self._ids = _Memo(lambda chunk: " ".join(map(str, self.chunk(chunk))))
-        self._text = _Memo(lambda ids: self.decode(map(int, ids.split(" "))) if ids else "")
+        self._pieces = _Memo(self.merge)
+        self._chunks = _Memo(self._shown)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-tokenised piece."""
-        symbol = [self.letter[b] for b in piece.encode("utf-8")]
+        # A printable ASCII character is its own letter.
+        symbol = list(piece) if piece.isascii() and piece.isprintable() else [self.letter[b] for b in piece.encode("utf-8")]
         symbol[-1] += WORD_END
         n = len(symbol)
+        if n == 1:
+            return [self.vocab[symbol[0]]]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         ranks = self.ranks
         queue = [(ranks[pair], i, *pair) for i, pair in enumerate(zip(symbol, symbol[1:], strict=False)) if pair in ranks]
@@ -107,7 +110,9 @@ class WordBpe:
             pieces = self._unknown(text)
         else:
             pieces = self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        return [i for piece in pieces for i in self.merge(piece)]
+        if len(pieces) == 1:
+            return self._pieces[pieces[0]]
+        return [i for piece in pieces for i in self._pieces[piece]]
 
     def _unknown(self, text: str) -> list[str]:
         """Pieces of a text with characters that the tables here may not know: the library's do."""
@@ -115,17 +120,22 @@ class WordBpe:
         # Its byte letters back to text: a piece is a run of whole characters.
         return [bytes(self.byte[c] for c in piece).decode("utf-8") for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _parts(self, text: str) -> Iterator[str]:
-        """Runs of ids as decimals, one for each chunk that has any."""
+    def _shown(self, chunk: str) -> tuple[str, str] | None:
+        """A chunk's ids as decimals and decoded; None if it has none."""
+        ids = self.chunk(chunk)
+        return (" ".join(map(str, ids)), self.decode(ids)) if ids else None
+
+    def _parts(self, text: str) -> Iterator[tuple[str, str]]:
+        """Of each chunk that has ids: these as decimals and decoded."""
         for part in self.cut.split(text) if "<|" in text else (text,):
             if part in self.special:
-                yield str(self.special[part])
+                yield str(self.special[part]), part
             else:
                 words = part.split() if not ODD.search(part) else filter(None, SPACES.split(part))
-                yield from filter(None, map(self._ids.__getitem__, words))
+                yield from filter(None, map(self._chunks.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part in self._parts(text) for i in part.split(" ")]
+        return [int(i) for ids, _ in self._parts(text) for i in ids.split(" ")]
 
     def decode(self, ids) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -133,8 +143,8 @@ class WordBpe:
     def round_trip(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by one space, decoded text)."""
         parts = list(self._parts(text))
-        ids = " ".join(parts)
-        return ids.count(" ") + bool(ids), ids, " ".join(map(self._text.__getitem__, parts))
+        ids = " ".join([p[0] for p in parts])
+        return ids.count(" ") + bool(ids), ids, " ".join([p[1] for p in parts])
 
 
 _loaded: dict[str, WordBpe] = {}
