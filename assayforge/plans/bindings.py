@@ -258,7 +258,9 @@ _VALUES = (
 
 
 def values(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
-    rows = measurements(spark, sf_dir).where("value is not null").withColumn("i", measure.interval(F.col("m"), molar=False)).select(*keys, "i.lo", "i.hi")
+    # A generated row keeps the parser from being folded into each use of what it yields.
+    parsed = measurements(spark, sf_dir).where("value is not null").select(*keys, F.explode(F.array("m")).alias("m"))
+    rows = parsed.withColumn("i", measure.interval(F.col("m"), molar=False)).select(*keys, "i.lo", "i.hi")
     return cliffs.compound_values(rows, keys, "lo", "hi", 400.0)
 
 
