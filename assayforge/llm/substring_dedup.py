@@ -7,13 +7,13 @@ with a smaller id, or earlier in the same one.
 1. Of each window one anchor is chosen by content alone (the phrase of
    ``phrase`` words with the smallest hash in it), so equal windows have equal
    anchors and about one word in seven starts an anchor.
-2. Anchors that occur twice in the corpus are confirmed by a counting
-   aggregation with map-side combine.
-3. A join on the phrases' hashes locates each anchor that is a confirmed phrase.
-   The phrases at these places are compiled, about a megabyte of text at a time,
-   into an Aho-Corasick automaton (words are its symbols), and the texts that have
-   such places are streamed through it. It locates nothing beyond the join.
-4. Only windows whose anchor was located are hashed and shuffled; the smallest
+2. A phrase is written in 16-bit symbols, one a word. Phrases that occur twice in
+   the corpus are confirmed by a counting aggregation with map-side combine.
+3. Confirmed phrases are dealt out to the shards of text that need them, as symbols
+   and without places. A shard is about a megabyte of whole texts; its phrases are
+   compiled into an Aho-Corasick automaton, all its texts are streamed through it,
+   and its hits are the only source of occurrences.
+4. Only windows whose anchor was hit are hashed and shuffled; the smallest
    document of each window hash is again an aggregation with map-side combine.
    A document keeps what it owns and drops the rest.
 
@@ -22,7 +22,8 @@ of at least ``window`` words is removed whole. No step holds a group of equal
 keys in one task: hot phrases collapse before the shuffle, and the one join on
 phrases is a sort-merge join whose skewed partitions Spark splits.
 
-Windows are told apart by 64-bit hashes of 64-bit word hashes.
+Windows are told apart by 64-bit hashes of 64-bit word hashes. Words that share a
+symbol can only add windows to be hashed, and these are still told apart.
 
 Defined cases: null and empty texts have no words and lose none; texts shorter
 than a window lose none; rows that share a doc_id count as one document and are
@@ -57,28 +58,44 @@ def anchors(words: tv.Words, window: int, phrase: int) -> tuple[np.ndarray, np.n
     return starts, starts + best[starts], grams
 
 
-def located(words: tv.Words, phrase: int, marks: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Word indices where a confirmed phrase of this shard starts.
+def keys_of(words: tv.Words, at: np.ndarray, phrase: int) -> np.ndarray:
+    """The phrases that start at these words: rows of longs, four symbols in each."""
+    symbols = np.zeros((len(at), 4 * width(phrase)), "<u2")
+    symbols[:, :phrase] = (words.hash >> np.uint64(48)).astype("<u2")[at[:, None] + np.arange(phrase)]
+    return symbols.view("<i8")
 
-    marks: places at which the counting join reported a confirmed phrase; the
-    distinct ones are compiled and all words streamed through the automaton.
+
+def key_names(phrase: int) -> list[str]:
+    return [f"key_{i}" for i in range(width(phrase))]
+
+
+def width(phrase: int) -> int:
+    """Longs that hold a phrase."""
+    return -(-phrase // 4)
+
+
+def spelled(symbols: np.ndarray) -> str:
+    """Symbols as characters, beyond the range that has surrogates."""
+    return (symbols.astype("<u4") + 0x10000).tobytes().decode("utf-32-le")
+
+
+def located(words: tv.Words, phrase: int, keys: np.ndarray) -> np.ndarray:
+    """Which words start a phrase of this shard, by its automaton over all its texts.
+
+    keys: the shard's confirmed phrases as ``keys_of`` writes them; repeats are allowed.
     """
     out = np.zeros(len(words.hash), bool)
-    if not len(marks):
+    if not len(keys) or not len(out):
         return out
-    symbols = (words.hash >> np.uint64(32)).astype(np.int64)
-    whole = words.whole(phrase)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    listed = symbols.tolist()
-    for at in marks[np.unique(grams[marks], return_index=True)[1]].tolist():
-        automaton.add_word(tuple(listed[at : at + phrase]))
+    listed = spelled(np.ascontiguousarray(keys, "<i8").view("<u2")[:, :phrase])
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for one in {listed[i : i + phrase] for i in range(0, len(listed), phrase)}:
+        automaton.add_word(one)
     automaton.make_automaton()
-    docs = words.doc_of()
-    for doc in np.unique(docs[marks]).tolist():
-        a, b = int(words.first[doc]), int(words.first[doc + 1])
-        for end, _ in automaton.iter(tuple(listed[a:b])):
-            out[a + end - phrase + 1] = True
-    return out & whole
+    ends = [end for end, _ in automaton.iter(spelled(words.hash >> np.uint64(48)))]
+    out[np.asarray(ends, np.int64) - phrase + 1] = True
+    # Texts follow each other in the stream without a gap.
+    return out & words.whole(phrase)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +105,9 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.asarray(column.flatten())
 
 
-def _emit_phrases(window: int, phrase: int, places: bool):
+def _emit_phrases(window: int, phrase: int, by_doc: bool):
+    names = key_names(phrase)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("first"))
@@ -98,32 +117,34 @@ def _emit_phrases(window: int, phrase: int, places: bool):
                 at = np.unique(at)
                 if not len(at):
                     continue
-                if not places:
-                    value, n = np.unique(grams[at], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([tv.signed(value), n.astype(np.int64)], ["phrase", "n"])
-                    continue
                 doc = words.doc_of()[at]
-                yield pa.RecordBatch.from_arrays(
-                    [tv.signed(grams[at]), ids[words.rows[0] + doc], (at - words.first[doc]).astype(np.int32)],
-                    ["phrase", "doc_id", "at"],
-                )
+                # Once a shard to be counted, once a document to be dealt out.
+                told = grams[at] if not by_doc else _tagged(grams[at], doc)
+                _, once, n = np.unique(told, return_index=True, return_counts=True)
+                last = n.astype(np.int64) if not by_doc else ids[words.rows[0] + doc[once]]
+                keys = keys_of(words, at[once], phrase)
+                yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in keys.T.copy()), pa.array(last)], [*names, "doc_id" if by_doc else "n"])
 
     return run
 
 
-def _candidates(words: tv.Words, off: np.ndarray, at: np.ndarray, window: int, phrase: int):
-    """(window starts whose anchor is a located phrase, their hashes)."""
+def _phrases(column: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and keys of the lists of phrases; null as empty."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    flat = column.flatten()
+    keys = np.stack([np.asarray(flat.field(name)) for name in names], axis=1) if len(flat) else np.zeros((0, len(names)), np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), keys
+
+
+def _candidates(words: tv.Words, off: np.ndarray, keys: np.ndarray, known: np.ndarray, window: int, phrase: int):
+    """(window starts whose anchor the automaton hit, their hashes); only texts with an id take part."""
     lo, hi = words.rows
-    mine = at[off[lo] : off[hi]].astype(np.int64)
-    doc = np.repeat(np.arange(hi - lo), np.diff(off[lo : hi + 1]))
-    sizes = np.diff(words.first)
-    good = (mine >= 0) & (mine + phrase <= sizes[doc]) if len(mine) else np.zeros(0, bool)
-    marks = words.first[doc[good]] + mine[good]
-    starts, anchor, grams = anchors(words, window, phrase)
-    if not len(marks) or not len(starts):
+    hit = located(words, phrase, keys[off[lo] : off[hi]])
+    if not hit.any():
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64)
-    starts = starts[located(words, phrase, np.unique(marks), grams)[anchor]]
+    starts, anchor, _ = anchors(words, window, phrase)
+    starts = starts[hit[anchor] & known[lo:hi][words.doc_of()[starts]]]
     return starts, words.windows(window)[starts]
 
 
@@ -133,13 +154,16 @@ def _tagged(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _emit_windows(window: int, phrase: int):
+    names = key_names(phrase)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("first"))
             ids = np.asarray(batch.column("doc_id"))
-            off, at = _lists(batch.column("places"))
+            off, keys = _phrases(batch.column("phrases"), names)
+            known = np.ones(len(ids), bool)
             for words in tv.words_of(batch.column("text")):
-                starts, hashes = _candidates(words, off, at, window, phrase)
+                starts, hashes = _candidates(words, off, keys, known, window, phrase)
                 if not len(starts):
                     continue
                 doc = words.doc_of()[starts]
@@ -166,14 +190,17 @@ def kept_text(words: tv.Words, removed: np.ndarray) -> list[bytes]:
 
 
 def _emit_kept(window: int, phrase: int, as_is: bool, more: int):
+    names = key_names(phrase)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, at = _lists(batch.column("places"))
+            off, keys = _phrases(batch.column("phrases"), names)
+            known = np.asarray(batch.column("doc_id").is_valid())
             own_off, own = _lists(batch.column("owned"))
             copy = np.asarray(batch.column("later_copy"))
             for words in tv.words_of(batch.column("text")):
                 lo, hi = words.rows
-                starts, hashes = _candidates(words, off, at, window, phrase)
+                starts, hashes = _candidates(words, off, keys, known, window, phrase)
                 count = np.diff(words.first)
                 removed = np.repeat(copy[lo:hi] & (count >= window), count)
                 if len(starts):
@@ -225,18 +252,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     base = docs.join(first.select("doc_id", F.lit(True).alias("first")).distinct(), "doc_id", "left")
     base = base.select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("first"), *passed)
 
-    counted = base.mapInArrow(_emit_phrases(window, phrase, False), "phrase long, n long")
-    confirmed = counted.groupBy("phrase").agg(F.sum("n").alias("n")).where("n >= 2")
-    # Not the grouping column itself: the join then has an exchange on both sides, and
-    # partitions with hot phrases can be split.
-    confirmed = confirmed.select(F.col("phrase").bitwiseXOR(F.lit(0).cast("long")).alias("phrase"))
-    placed = base.mapInArrow(_emit_phrases(window, phrase, True), "phrase long, doc_id long, at int")
-    places = placed.join(confirmed.hint("merge"), "phrase").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-
-    known = base.join(places, "doc_id", "left")
+    keys = key_names(phrase)
+    typed = "".join(f"{k} long, " for k in keys)
+    counted = base.mapInArrow(_emit_phrases(window, phrase, False), typed + "n long")
+    confirmed = counted.groupBy(*keys).agg(F.sum("n").alias("n")).where("n >= 2")
+    # Not the grouping columns themselves: the join then has an exchange on both sides,
+    # and partitions with hot phrases can be split.
+    confirmed = confirmed.select(*(F.col(k).bitwiseXOR(F.lit(0).cast("long")).alias(k) for k in keys))
+    wanted = base.mapInArrow(_emit_phrases(window, phrase, True), typed + "doc_id long")
+    phrases = wanted.join(confirmed.hint("merge"), keys).groupBy("doc_id").agg(F.collect_list(F.struct(*keys)).alias("phrases"))
+
+    known = base.join(phrases, "doc_id", "left")
     windows = known.mapInArrow(_emit_windows(window, phrase), "win long, doc_id long")
     owned = windows.groupBy("win").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("win").alias("owned"))
-    ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "places", "owned", *passed, (~F.col("first") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
+    ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "phrases", "owned", *passed, (~F.col("first") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
     out = ready.mapInArrow(_emit_kept(window, phrase, as_is, len(more)), "doc_id long, n_words long, n_removed long, kept_text string" + kinds)
     return out.withColumnsRenamed(dict(zip(passed, more, strict=True)))
 

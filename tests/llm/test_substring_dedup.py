@@ -1,11 +1,14 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from assayforge.llm import bindings
+from assayforge.llm import bindings, substring_dedup
+from assayforge.llm import textvec as tv
 from assayforge.llm.substring_dedup import remove_repeats
 from tests.conftest import SMALL
 from tests.llm import cases
@@ -72,3 +75,42 @@ def test_small_windows(spark, texts, window):
 def test_phrase_longer_than_window(spark):
     with pytest.raises(ValueError):
         remove_repeats(cases.empty(spark), window=3, phrase=4)
+
+
+def shard():
+    """Words of three texts with one passage, and the confirmed phrases, which only the first text is told of."""
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([*(f"{x}{i}" for i in range(15)), *passage, x, x]) for x in "abc"]
+    (words,) = tv.words_of(pa.array(texts))
+    _, at, grams = substring_dedup.anchors(words, 20, 8)
+    at = np.unique(at)
+    value, n = np.unique(grams[at], return_counts=True)
+    told = [a for a in at.tolist() if a < words.first[1] and n[value == grams[a]][0] > 1]
+    return texts, words, at, grams, substring_dedup.keys_of(words, np.array(told), 8)
+
+
+def test_automaton_finds_every_occurrence():
+    texts, words, at, grams, keys = shard()
+    symbols = substring_dedup.spelled(words.hash >> np.uint64(48))
+    listed = {substring_dedup.spelled(k.view("<u2")) for k in keys}
+    docs = words.doc_of()
+    want = [i for i in range(len(symbols) - 7) if symbols[i : i + 8] in listed and docs[i] == docs[i + 7]]
+    assert np.flatnonzero(substring_dedup.located(words, 8, keys)).tolist() == want
+    assert len(want) == 3 * len(listed) > 0
+
+
+def test_nothing_is_removed_without_the_automaton(monkeypatch):
+    texts, words, at, grams, keys = shard()
+    kind = pa.list_(pa.struct([("key_0", pa.int64()), ("key_1", pa.int64())]))
+    phrases = pa.array([[{"key_0": int(a), "key_1": int(b)} for a, b in keys], None, None], kind)
+    none = pa.array([None] * 3, pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts, "first": [True] * 3, "phrases": phrases, "owned": none, "later_copy": [False] * 3})
+
+    def removed():
+        (out,) = substring_dedup._emit_kept(20, 8, False, 0)(iter([batch]))
+        return out.column("n_removed").to_pylist(), [b.num_rows for b in substring_dedup._emit_windows(20, 8)(iter([batch]))]
+
+    gone, windows = removed()
+    assert min(gone) >= 20 and sum(windows) > 0
+    monkeypatch.setattr(substring_dedup, "located", lambda words, phrase, keys: np.zeros(len(words.hash), bool))
+    assert removed() == ([0, 0, 0], [])
