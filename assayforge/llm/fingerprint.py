@@ -10,8 +10,10 @@ is 1 at no difference and 0 from ``MOST`` on.
 Defined cases: null text is empty; texts under three bytes have no triplets and
 differ by length and checksum alone; equal texts have equal digests; repeated
 rows each get a row; other columns are ignored. Rows without a doc_id come first
-in the order of documents; where no row has one, the last of them follows
-itself. Rows that share one are ordered by text.
+in the order of documents, and the last of them is followed by the smallest id;
+the last document is followed by the smallest id too, as the order of ids closes
+without them. Where no row has an id, the last of them is followed by itself.
+Rows that share an id are ordered by text.
 """
 
 from __future__ import annotations

@@ -39,6 +39,20 @@ def test_empty_and_repeated(spark):
     assert run(cases.table(spark, [(1, "abc"), (1, "abc"), (None, "x"), (2, None)])).count() == 4
 
 
+def test_rows_without_id_come_first_and_the_order_of_ids_closes_without_them(spark):
+    def followed(rows):
+        out = run(cases.table(spark, rows)).collect()
+        return sorted((r["doc_id"] or 0, r["edited_sha256"]) for r in out)
+
+    def edited(text, after):
+        return hashlib.sha256((text[:6] + after[:2]).encode()).hexdigest()
+
+    x, y, a, b = "xxxxxxxx", "yyyyyyyy", "aaaaaaaa", "bbbbbbbb"
+    want = sorted([(0, edited(x, y)), (0, edited(y, a)), (1, edited(a, b)), (2, edited(b, a))])
+    assert followed([(2, b), (None, y), (1, a), (None, x)]) == want
+    assert followed([(None, y), (None, x)]) == sorted([(0, edited(x, y)), (0, edited(y, y))])
+
+
 def test_likeness_is_bounded_and_equal_texts_agree():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.integers(97, 97 + k, n).astype(np.uint8)) for k in (2, 10, 26) for n in (0, 1, 2, 3, 50, 5000)]

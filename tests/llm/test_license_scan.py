@@ -32,6 +32,34 @@ def test_same_as_exact_lines(spark):
     assert want and want <= got
 
 
+def in_order(template, block):
+    """Most words of the template that the block has in order, by dynamic programming."""
+    row = [0] * (len(block) + 1)
+    for w in template:
+        last = row
+        row = [0]
+        for k, v in enumerate(block):
+            row.append(last[k] + 1 if w == v else max(last[k + 1], row[k]))
+    return row[-1]
+
+
+def test_no_notice_without_its_words(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = scan(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    assert found
+    for r in found:
+        text = [w.lower() for w in re.findall(r"\w+(?:[.-]\w+)*", "\n".join(docs[r["doc_id"]].split("\n")[r["line"] :]))]
+        wordings = [[w.lower() for w in re.findall(r"\w+(?:[.-]\w+)*", t)] for n, t in TEMPLATES if n == r["license"]]
+        starts = len(re.findall(r"\w+(?:[.-]\w+)*", docs[r["doc_id"]].split("\n")[r["line"]]))
+        assert any(in_order(w, text[: starts + 2 * len(w) + 16]) >= 0.8 * len(w) for w in wordings), r
+
+
+def test_ties():
+    same = [("A", "All rights reserved by nobody."), ("B", "All rights reserved by nobody.")]
+    assert [r[1] for r in Scanner(same).scan("All rights reserved by nobody.")] == ["A"]
+    assert [r[1] for r in Scanner(same[::-1]).scan("All rights reserved by nobody.")] == ["B"]
+
+
 def test_odd_tables(spark):
     rows = [(1, None), (2, ""), (3, "x\nReleased under the MIT License.\n" + "y " * 100000), (3, "Released under the MIT License."), (None, "All rights reserved.")]
     got = sorted((r["doc_id"] or 0, r["line"], r["license"]) for r in scan(cases.table(spark, rows)).collect())
