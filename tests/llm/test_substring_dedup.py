@@ -77,6 +77,13 @@ def test_phrase_longer_than_window(spark):
         remove_repeats(cases.empty(spark), window=3, phrase=4)
 
 
+def test_hot_passage_and_equal_starts(spark):
+    passage = " ".join(f"hot{i}" for i in range(24))
+    rows = [(i, f"{' '.join(f'a{i}x{k}' for k in range(i % 9))} {passage} {'again ' * (i % 3 * 15)}") for i in range(240)]
+    rows.append((500, f"{passage} {passage} {passage}"))
+    assert found(cases.table(spark, rows)) == brute(rows)
+
+
 def shard():
     """Words of three texts with one passage, and the confirmed phrases, which only the first text is told of."""
     passage = [f"p{i}" for i in range(30)]
