@@ -37,12 +37,13 @@ def label_counts(records: DataFrame, keys: list[str], label: str) -> DataFrame:
     return records.groupBy(*keys, F.trim(F.col(label).cast("string")).alias("label")).agg(F.count("*").alias("n"))
 
 
-def by_value(records: DataFrame, keys: list[str], parsed: str, tolerance: float) -> DataFrame:
+def by_value(records: DataFrame, keys: list[str], parsed: str, tolerance: float, digits: int | None = 4) -> DataFrame:
     """Groups of two records or more by the parsed measurement column.
 
     Exact, comparable values are compared on the logarithmic molar scale if all
     have one, else as they are if they share a unit; otherwise there is no
-    spread. A spread beyond the tolerance is a conflict.
+    spread. A spread beyond the tolerance is a conflict. The spread is rounded to
+    ``digits`` before that; None leaves it as it is.
     """
     m = F.col(parsed)
     exact = m["comparable"] & ~m["censored"] & m["value"].isNotNull()
@@ -57,7 +58,7 @@ def by_value(records: DataFrame, keys: list[str], parsed: str, tolerance: float)
     molar = (F.col("_logs") > 0) & (F.col("_logs") == F.col("n_exact"))
     scale = F.when(molar, "log10 molar").when((F.col("_units") == 1), "absolute").when((F.col("_units") == 0) & (F.col("n_exact") > 0), "absolute (unitless)")
     spread = F.when(F.col("n_exact") >= 2, F.when(molar, F.col("_log_spread")).when(F.col("_units") <= 1, F.col("_spread")))
-    found = found.withColumn("scale", scale).withColumn("spread", F.bround(spread, 4))
+    found = found.withColumn("scale", scale).withColumn("spread", spread if digits is None else F.bround(spread, digits))
     return found.withColumn("conflict", F.coalesce(F.col("spread") > tolerance, F.lit(False))).select(*keys, "n_records", "n_exact", "n_censored", "scale", "spread", "conflict")
 
 

@@ -213,7 +213,8 @@ def label_conflicts_class(spark, sf_dir):
 )
 def label_conflicts_value(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", measure.parse(F.col("o_totalprice")).alias("m"))
-    found = conflicts.by_value(rows, ["o_custkey", "o_orderpriority"], "m", 250_000)
+    # Rounded to decimals first, 106929.49999999999 would become 106930.
+    found = conflicts.by_value(rows, ["o_custkey", "o_orderpriority"], "m", 250_000, digits=None)
     return found.withColumn("spread_10", F.floor(F.bround("spread", 0) / 10).cast("long")).drop("spread")
 
 
