@@ -27,19 +27,42 @@ def compound_values(records: DataFrame, keys: list[str], lo: str, hi: str, thres
     )
 
 
-def core_pairs(fragments: DataFrame, context: list[str] | None = None) -> DataFrame:
+#: Compounds of one block of ``core_pairs``, about.
+BLOCK = 1024
+
+
+def core_pairs(fragments: DataFrame, context: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of compounds that share a core and differ in the rest.
 
     fragments: context..., id, core, core_size, rest, rest_size. Of each pair the
     smallest change wins, then the largest core, then text order.
+
+    Compounds with the same fragments pair alike, so they are packed into blocks, and
+    the change is decided once for two blocks, in both directions. Only then are the
+    members paired, in as many tasks as blocks met, however hot a core or a compound is.
     """
-    keys = [*(context or []), "core"]
-    a = fragments.select(*keys, "core_size", F.col("id").alias("a"), F.col("rest").alias("ra"), F.col("rest_size").alias("na"))
-    b = fragments.select(*keys, F.col("id").alias("b"), F.col("rest").alias("rb"), F.col("rest_size").alias("nb"))
-    met = a.join(b, keys).where("a < b and ra != rb")
-    order = F.struct((F.col("na") + F.col("nb")).alias("n"), (-F.col("core_size")).alias("c"), "ra", "rb", "core")
-    best = met.groupBy(*(context or []), "a", "b").agg(F.min(order).alias("o"))
-    return best.select(*(context or []), "a", "b", F.col("o.core").alias("core"), F.concat_ws(">>", "o.ra", "o.rb").alias("transformation"), F.col("o.n").cast("long").alias("n_changed"))
+    context = context or []
+    known = fragments.where("id is not null and core is not null and rest is not null")
+    whole = known.groupBy(*context, "id").agg(F.sort_array(F.collect_set(F.struct("core", "core_size", "rest", "rest_size"))).alias("f"))
+    whole = whole.withColumn("kind", F.sha2(F.to_json("f"), 256))
+    sizes = whole.groupBy(*context, "kind").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))
+    blocks = whole.join(sizes, [*context, "kind"]).groupBy(*context, F.concat_ws("-", "kind", part).alias("block")).agg(F.any_value("f").alias("f"), F.collect_list("id").alias("ids"))
+    blocks = blocks.select(*context, "block", "ids", F.inline("f"))
+    keys = [*context, "core"]
+    a = blocks.select(*keys, F.col("block").alias("ba"), F.col("ids").alias("ia"), F.col("core_size").alias("ca"), F.col("rest").alias("ra"), F.col("rest_size").alias("na"))
+    b = blocks.select(*keys, F.col("block").alias("bb"), F.col("ids").alias("ib"), F.col("core_size").alias("cb"), F.col("rest").alias("rb"), F.col("rest_size").alias("nb"))
+    n = (F.col("na") + F.col("nb")).alias("n")
+    order = F.struct(n, (-F.col("ca")).alias("c"), F.col("ra").alias("from"), F.col("rb").alias("to"), "core")
+    turned = F.struct(n, (-F.col("cb")).alias("c"), F.col("rb").alias("from"), F.col("ra").alias("to"), "core")
+    # A number of its own keeps the tasks apart that a few bytes here make many pairs in.
+    met = a.join(b, keys).where("ba <= bb and ra != rb").repartition(int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions")), *context, "ba", "bb")
+    best = met.groupBy(*context, "ba", "bb").agg(F.min(order).alias("o"), F.min(turned).alias("t"), F.any_value("ia").alias("ia"), F.any_value("ib").alias("ib"))
+    change = lambda o: F.struct(F.col(f"{o}.core").alias("core"), F.concat_ws(">>", f"{o}.from", f"{o}.to").alias("transformation"))
+    best = best.select(*context, (F.col("ba") == F.col("bb")).alias("same"), "ia", "ib", change("o").alias("o"), change("t").alias("t"), F.col("o.n").cast("long").alias("n_changed"))
+    pairs = best.withColumn("x", F.explode("ia")).withColumn("y", F.explode("ib")).where("not same or x < y")
+    pick = lambda name: F.when(F.col("x") < F.col("y"), F.col(f"o.{name}")).otherwise(F.col(f"t.{name}")).alias(name)
+    return pairs.select(*context, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), pick("core"), pick("transformation"), "n_changed")
 
 
 def similar_pairs(items: DataFrame, threshold: float, n_bits: int = 64) -> DataFrame:

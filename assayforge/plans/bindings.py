@@ -328,9 +328,9 @@ def label_outliers(spark, sf_dir):
 )
 def core_pairs(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    w = F.split("p_name", " ")
-    first, second = F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
-    cut = F.explode(F.array(F.struct(F.concat_ws(" ", first, "p_type").alias("core"), second.alias("rest")), F.struct(F.concat_ws(" ", second, "p_type").alias("core"), first.alias("rest"))))
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    core = lambda word: F.concat(word, F.lit(" "), "p_type").alias("core")
+    cut = F.explode(F.array(F.struct(core(first), second.alias("rest")), F.struct(core(second), first.alias("rest"))))
     f = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("context"), cut.alias("f")).select("id", "context", "f.core", "f.rest")
     return cliffs.core_pairs(f.withColumn("core_size", F.length("core")).withColumn("rest_size", F.length("rest")), ["context"])
 
