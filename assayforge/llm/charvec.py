@@ -10,7 +10,7 @@ import numpy as np
 from assayforge.llm.textvec import mix
 
 #: Code points handled at once; a longer text is handled alone.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 SPACE = 32
 _factor = np.random.default_rng(77).integers(1, 2**32, 16, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _tables: dict[str, np.ndarray] = {}

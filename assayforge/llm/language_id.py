@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from assayforge.llm import charvec as cv
-from assayforge.llm.common import held_out
+from assayforge.llm.common import held_out, map_texts
 
 #: Labelled documents learned from, at most.
 SAMPLE = 3000
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return map_texts(docs, run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def annotate(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +199,7 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
             more = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return map_texts(docs, run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayforge.llm import textvec as tv
-from assayforge.llm.common import checkpointed
+from assayforge.llm.common import checkpointed, map_texts, spread
 
 SHINGLE = 5
 SKETCHES = 20
@@ -57,6 +57,8 @@ SIMILAR = 0.8
 CHUNK = 1024
 #: Links that one task looks after when classes are joined.
 LINKS = 200_000
+#: Documents whose marks are one file of a checkpoint, about.
+FILE_ROWS = 20_000
 #: Bits of the parity signature.
 BITS = 1024
 #: Texts of up to so many shingles also get the keys that allow for one shingle less.
@@ -331,20 +333,21 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
     """Per row of (doc_id, text): doc_id, class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null and text is not null")
-    drawn = checkpointed(known.select("doc_id", "text", F.md5("text").alias("print")).mapInArrow(_emit_sketches(shingle, sketches, size), "doc_id long, print string, keys array<long>"))
+    drawn = checkpointed(map_texts(known.select("doc_id", "text", F.md5("text").alias("print")), _emit_sketches(shingle, sketches, size), "doc_id long, print string, keys array<long>"))
+    files = spread(docs.sparkSession, drawn.count(), FILE_ROWS)
     first = drawn.groupBy("print").agg(F.min("doc_id").alias("first"))
     member = drawn.select("doc_id", "print").join(first, "print").select("doc_id", "first")
     one = drawn.join(first.select("print", F.col("first").alias("doc_id")), ["print", "doc_id"]).select(F.col("doc_id").alias("id"), "keys")
     rows = one.select("id", F.explode("keys").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    bucket = checkpointed(rows.join(shared, "key"))
+    bucket = checkpointed(rows.join(shared, "key").coalesce(files))
     needed = bucket.select(F.col("id").alias("doc_id")).distinct()
-    seqs = known.join(needed, "doc_id").mapInArrow(_emit_sequences(shingle), "doc_id long, seq binary, length int, sig binary").withColumnRenamed("doc_id", "id")
-    items = checkpointed(seqs.join(one.select("id", F.slice("keys", 1, sketches).alias("keys")), "id").dropDuplicates(["id"]))
+    seqs = map_texts(known.join(needed, "doc_id"), _emit_sequences(shingle), "doc_id long, seq binary, length int, sig binary").withColumnRenamed("doc_id", "id")
+    items = checkpointed(seqs.join(one.select("id", F.slice("keys", 1, sketches).alias("keys")), "id").dropDuplicates(["id"]).coalesce(files))
 
     def verified(pairs: DataFrame) -> DataFrame:
         wide = pairs.join(items.select(F.col("id").alias("a"), F.col("seq").alias("sa")), "a").join(items.select(F.col("id").alias("b"), F.col("seq").alias("sb")), "b")
-        return checkpointed(wide.select("a", "b", "sa", "sb").mapInArrow(_verify(similar), "a long, b long, linked boolean").where("linked").select("a", "b"))
+        return checkpointed(map_texts(wide.select("a", "b", "sa", "sb"), _verify(similar), "a long, b long, linked boolean").where("linked").select("a", "b").coalesce(files))
 
     links = verified(bucket.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     label = components(links)
@@ -352,13 +355,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
     def mixed() -> DataFrame:
         state = bucket.join(label, "id", "left").select("key", "n", "id", F.coalesce("class", "id").alias("class"))
         open_ = state.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-        return checkpointed(state.join(open_, "key"))
+        return checkpointed(state.join(open_, "key").coalesce(files))
 
     def left(best: bool) -> DataFrame:
         """Pairs that are left in buckets of several classes, chunk by chunk."""
         state = mixed().join(items.drop("seq"), "id")
         chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
-        parts = checkpointed(state.groupBy("key", "n", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "class", "length", "sig", "keys")).alias("m")))
+        parts = checkpointed(state.groupBy("key", "n", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "class", "length", "sig", "keys")).alias("m")).coalesce(files))
         parts = parts.select("key", "n", "chunk", F.struct(*(F.col(f"m.{c}").alias(c) for c in ("id", "class", "length", "sig", "keys"))).alias("m"))
         x = parts.select("key", "n", F.col("chunk").alias("cx"), F.col("m").alias("x"))
         y = parts.select("key", F.col("chunk").alias("cy"), F.col("m").alias("y"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayforge.llm.common import checkpointed
+from assayforge.llm.common import checkpointed, map_texts
 
 SIZE = 1024
 END_ID = 2
@@ -269,7 +269,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) ->
     pieces of ``size`` ids, of which the first may be shorter.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = checkpointed(docs.mapInArrow(_emit_pieces(path, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = checkpointed(map_texts(docs, _emit_pieces(path, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = max(16, sum(histogram.values()) // BUCKET_ROWS)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assayforge.llm import charvec as cv
-from assayforge.llm.common import held_out
+from assayforge.llm.common import held_out, map_texts
 from assayforge.llm.textvec import WORD_BASE, mix
 
 #: Labelled documents learned from, at most.
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs, run, "doc_id long, score double")
 
 
 def annotate(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -149,7 +149,7 @@ def annotate(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             found = scores(*shared.value, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return map_texts(docs, run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayforge.llm import textvec as tv
+from assayforge.llm.common import map_texts
 
 WINDOW = 20
 PHRASE = 8
@@ -254,19 +255,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     keys = key_names(phrase)
     typed = "".join(f"{k} long, " for k in keys)
-    counted = base.mapInArrow(_emit_phrases(window, phrase, False), typed + "n long")
+    counted = map_texts(base, _emit_phrases(window, phrase, False), typed + "n long")
     confirmed = counted.groupBy(*keys).agg(F.sum("n").alias("n")).where("n >= 2")
     # Not the grouping columns themselves: the join then has an exchange on both sides,
     # and partitions with hot phrases can be split.
     confirmed = confirmed.select(*(F.col(k).bitwiseXOR(F.lit(0).cast("long")).alias(k) for k in keys))
-    wanted = base.mapInArrow(_emit_phrases(window, phrase, True), typed + "doc_id long")
+    wanted = map_texts(base, _emit_phrases(window, phrase, True), typed + "doc_id long")
     phrases = wanted.join(confirmed.hint("merge"), keys).groupBy("doc_id").agg(F.collect_list(F.struct(*keys)).alias("phrases"))
 
     known = base.join(phrases, "doc_id", "left")
-    windows = known.mapInArrow(_emit_windows(window, phrase), "win long, doc_id long")
+    windows = map_texts(known, _emit_windows(window, phrase), "win long, doc_id long")
     owned = windows.groupBy("win").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("win").alias("owned"))
     ready = known.join(owned, "doc_id", "left").select("doc_id", "text", "phrases", "owned", *passed, (~F.col("first") & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("later_copy"))
-    out = ready.mapInArrow(_emit_kept(window, phrase, as_is, len(more)), "doc_id long, n_words long, n_removed long, kept_text string" + kinds)
+    out = map_texts(ready, _emit_kept(window, phrase, as_is, len(more)), "doc_id long, n_words long, n_removed long, kept_text string" + kinds)
     return out.withColumnsRenamed(dict(zip(passed, more, strict=True)))
 
 

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 from assayforge.llm import near_dedup as nd
+from assayforge.llm.common import checkpointed
 from assayforge.llm.near_dedup import banded, labelled, matches, near_duplicates
 from tests.llm import cases
 
@@ -139,3 +141,21 @@ def test_short_texts_that_differ_by_one_shingle(spark):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "more"]))]
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates(cases.table(spark, rows)).collect()}
     assert got == brute(rows) and all(got[2 * i + 1] == 2 * i for i in range(150))
+
+
+def test_few_documents_are_few_checkpoint_files(spark):
+    checkpointed(spark.range(1))
+    top = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    known = set(top.iterdir())
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates(cases.table(spark)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(cases.documents())
+    files = [len(list(d.glob("part-*"))) for d in top.iterdir() if d not in known]
+    assert len(files) > 5 and max(files) <= 4 * spark.sparkContext.defaultParallelism

@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as cp
-from assayforge.llm.common import DOCUMENT_COLUMNS
+from assayforge.llm.common import BATCH_ROWS, DOCUMENT_COLUMNS, map_texts
 from tests.conftest import SMALL
 from tests.llm import cases
 from tests.llm.test_near_dedup import brute as classes
@@ -76,3 +76,32 @@ def test_quality_stage_keeps_what_the_classifier_predicts(spark, monkeypatch):
     monkeypatch.setattr(cp.quality, "annotate", lambda docs, model: docs.join(scores, "doc_id"))
     got = {r["doc_id"] for r in cp.classify_quality(spark, docs, SMALL).collect()}
     assert got == {r["doc_id"] for r in scores.where(f"score >= {cp.quality.GOOD}").collect()} == {5, 6, 7}
+
+
+def test_few_rows_are_few_files(spark):
+    docs = cases.table(spark).repartition(64)
+    few = 4 * spark.sparkContext.defaultParallelism
+    for stage in (cp.identify_language, cp.classify_quality):
+        assert stage(spark, docs, SMALL).rdd.getNumPartitions() <= few
+
+
+def test_batches_of_whole_texts_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("500", 500)):
+            spark.conf.set(key, given)
+            cp.identify_language(spark, cases.table(spark), SMALL)
+            assert int(spark.conf.get(key)) == held
+        spark.conf.set(key, "10000")
+        rows = map_texts(spark.range(0, 4500, 1, 1), _sizes, "n long").collect()
+        assert sum(r["n"] for r in rows) == 4500 and max(r["n"] for r in rows) == BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
